@@ -25,10 +25,30 @@ def sequence_key(user: str = "user_id", exercise: str = "exercise_id") -> Column
     return F.concat_ws("_", F.col(user).cast("string"), F.col(exercise).cast("string"))
 
 
+def _settle_tie(x: Column) -> Column:
+    """Move a value that prints half-way between two 4-digit decimals to the right one of them.
+
+    ``format_string`` rounds the shortest decimal text of a double, so such values always
+    go up; the stored binary value is usually a little above or below. 20000 * x is
+    compared with the odd whole number next to it without rounding error, by splitting x
+    into two parts of at most 27 bits. A true tie goes to the even digit.
+    """
+    size = F.abs(x)
+    whole = F.rint(size * 20000.0)
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    excess = (high * 20000.0 - whole) + (size - high) * 20000.0
+    up = (excess > 0) | ((excess == 0) & (F.pmod((whole + 1) / 2, F.lit(2.0)) == 0))
+    settled = F.when(up, (whole + 1) / 2).otherwise((whole - 1) / 2) / 10000.0
+    tie = (size < 1e11) & (F.pmod(whole, F.lit(2.0)) == 1) & (
+        F.abs(size * 20000.0 - whole) <= F.greatest(F.lit(1.0), whole) * 1e-15
+    )
+    return F.when(tie, F.signum(x) * settled).otherwise(x)
+
+
 def format_number(x: Column) -> Column:
     """Four decimals without trailing zeros; missing and non-finite values give ``NA``."""
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-    trimmed = F.regexp_replace(F.format_string("%.4f", x), r"\.?0+$", "")
+    trimmed = F.regexp_replace(F.format_string("%.4f", _settle_tie(x)), r"\.?0+$", "")
     return F.when(finite, trimmed).otherwise(F.lit(MISSING))
 
 

@@ -62,12 +62,10 @@ def fit_embedding_pca(
 
     Spark's PCA does not centre when it transforms, so the mean is removed first.
     """
-    rows = train.limit(3).count()
+    rows = train.limit(max(3, components + 1)).count()
     if dim <= 0 or rows < 3:
         return None
-    k = min(components, dim)
-    if dim > 2:
-        k = min(k, train.limit(k + 1).count() - 1)
+    k = min(components, dim, rows - 1)
     vectors = train.select(array_to_vector(clean_embedding(F.col(column), dim)).alias("_raw"))
     centre = StandardScaler(inputCol="_raw", outputCol="_centred", withMean=True, withStd=False)
     reduce = PCA(k=k, inputCol="_centred", outputCol=f"{column}_pca")
