@@ -180,10 +180,15 @@ PROFILED = ["seconds_from_start", "task_code_cosine", "sparse_metric", "min_inte
 TEXTS = ["exercise_type", "event_type", "session_id", "same_text"]
 
 
+def with_deviation(profile):
+    """Variances of clock columns have more digits than a double keeps, so their roots are compared."""
+    return profile.withColumn("deviation", F.sqrt("variance")).drop("variance")
+
+
 def _profile_sql() -> str:
     numeric = [
         f"""SELECT '{c}' AS feature, 'numeric' AS kind, {sr(f'avg(({c} IS NULL)::INT)', 'missing_rate')},
-              {sr(f'var_samp({c})', 'variance')}, CAST(NULL AS BIGINT) AS n_distinct,
+              {sr(f'stddev_samp({c})', 'deviation')}, CAST(NULL AS BIGINT) AS n_distinct,
               CASE WHEN avg(({c} IS NULL)::INT) > 0.25 THEN 'missing' WHEN var_samp({c}) < 1e-4 THEN 'low_variance'
                    ELSE 'kept' END AS status FROM train"""
         for c in PROFILED
@@ -201,13 +206,13 @@ def _profile_sql() -> str:
 @query("f6_f7_f8_choose_snapshot_columns", _profile_sql())
 def f6(spark, sf):
     train = train_of(split_rows(spark, sf)).withColumn("same_text", F.lit("same"))
-    return rounded(prep.choose_snapshot_columns(train, PROFILED, TEXTS).report)
+    return rounded(with_deviation(prep.choose_snapshot_columns(train, PROFILED, TEXTS).report))
 
 
 def _session_choice_sql() -> str:
     parts = [
         f"""SELECT '{c}' AS feature, 'numeric' AS kind, {sr(f'avg(({c} IS NULL)::INT)', 'missing_rate')},
-              {sr(f'CASE WHEN avg(({c} IS NULL)::INT) <= 0.25 THEN var_samp(coalesce({c}, (SELECT median({c}) FROM train))) ELSE var_samp({c}) END', 'variance')},
+              {sr(f'sqrt(CASE WHEN avg(({c} IS NULL)::INT) <= 0.25 THEN var_samp(coalesce({c}, (SELECT median({c}) FROM train))) ELSE var_samp({c}) END)', 'deviation')},
               CASE WHEN avg(({c} IS NULL)::INT) > 0.25 THEN 'missing'
                    WHEN var_samp(coalesce({c}, (SELECT median({c}) FROM train))) <= 1e-5 THEN 'low_variance'
                    ELSE 'kept' END AS status FROM train"""
@@ -219,7 +224,7 @@ def _session_choice_sql() -> str:
 @query("f6_f7_choose_session_columns", _session_choice_sql())
 def f7(spark, sf):
     train = train_of(split_rows(spark, sf))
-    return rounded(prep.choose_session_columns(train, PROFILED).report.drop("n_distinct"))
+    return rounded(with_deviation(prep.choose_session_columns(train, PROFILED).report.drop("n_distinct")))
 
 
 def _edges(c: str) -> str:
@@ -259,7 +264,7 @@ def labelled_train(spark, sf):
 def f10(spark, sf):
     train = labelled_train(spark, sf)
     edges = prep.quantile_edges(train, INFORMATIVE)
-    return rounded(prep.mutual_information(prep.binned_labels(train, edges)))
+    return rounded(prep.mutual_information(prep.binned_labels(train, edges, INFORMATIVE)))
 
 
 @query(
@@ -434,7 +439,7 @@ def s16(spark, sf):
     with_tables(
         " UNION ALL ".join(
             [
-                f"SELECT '{c}' AS feature, {sr(f'avg(({c} IS NULL)::INT)', 'missing_rate')}, {sr(f'var_samp({c})', 'variance')}, CAST(NULL AS BIGINT) AS n_distinct FROM train"
+                f"SELECT '{c}' AS feature, {sr(f'avg(({c} IS NULL)::INT)', 'missing_rate')}, {sr(f'stddev_samp({c})', 'deviation')}, CAST(NULL AS BIGINT) AS n_distinct FROM train"
                 for c in PROFILED
             ]
             + [f"SELECT '{c}', {sr(f'avg(({c} IS NULL)::INT)')}, NULL, count(DISTINCT {c}) FROM train" for c in TEXTS[:3]]
@@ -443,7 +448,8 @@ def s16(spark, sf):
     ),
 )
 def a19(spark, sf):
-    return rounded(agg.column_profile(train_of(split_rows(spark, sf)), PROFILED, TEXTS[:3]).drop("kind"))
+    profile = agg.column_profile(train_of(split_rows(spark, sf)), PROFILED, TEXTS[:3])
+    return rounded(with_deviation(profile.drop("kind")))
 
 
 @query(
@@ -466,7 +472,9 @@ def a26(spark, sf):
 NEAR = ["executes_before_snapshot", "ai_feedback_before_snapshot", "keystrokes_before_snapshot", "task_code_cosine"]
 NEAR_COLUMNS = [f"{c}_{s}" for c in NEAR for s in ("mean", "std")]
 NEAR_SQL = {
-    "labelled": LABELLED,
+    "labelled": "SELECT s.user_id, s.exercise_id, l.label, "
+    + ", ".join(f"coalesce({c}, avg({c}) OVER (PARTITION BY s.user_id, s.exercise_id)) AS {c}" for c in NEAR)
+    + " FROM snaps s LEFT JOIN true_labels l USING (user_id, exercise_id)",
     "wide": "SELECT user_id, exercise_id, label, "
     + ", ".join(f"coalesce(avg({c}), 0) AS {c}_mean, coalesce(stddev_pop({c}), 0) AS {c}_std" for c in NEAR)
     + " FROM labelled WHERE label IS NOT NULL GROUP BY user_id, exercise_id, label",
@@ -491,7 +499,7 @@ def scaled_sessions(spark, sf, features=NEAR, columns=NEAR_COLUMNS):
 
 
 def neighbours_of_test(spark, sf):
-    rows = scaled_sessions(spark, sf)
+    rows = materialize(scaled_sessions(spark, sf), "scaled")
     return nearest_neighbours(rows.filter("split = 'test'"), train_of(rows), NEAR_COLUMNS)
 
 
@@ -522,18 +530,17 @@ def model_frame(spark, sf):
     """Filled, scaled and indexed session rows, written once: every model below reads them."""
     rows = tab.drop_unlabelled(tab.attach(snapshots(spark, sf, chars=False), labels(spark, sf)))
     wide = splits.split_by_user(agg.session_features(rows, MODEL_FEATURES, carry=["label"]))
-    columns = prep.numeric_columns(wide)
     wide = materialize(splits.user_folds(wide), "wide")
     train = train_of(wide)
-    columns = prep.choose_session_columns(train, columns).kept
-    filled = prep.fit_median_fill(train, columns).apply(wide)
-    scaled = prep.fit_scaler(train_of(filled), columns).apply(filled)
+    choice = prep.choose_session_columns(train, prep.numeric_columns(wide))
+    filled = choice.fill.apply(wide)
+    scaled = prep.fit_scaler(train_of(filled), choice.kept).apply(filled)
     indexer = training.label_indexer(train)
     ready = agg.with_class_weight(train_of(scaled)).unionByName(
         scaled.filter("split = 'test'").withColumn("weight", F.lit(1.0))
     )
-    frame = materialize(indexer.transform(training.assemble(ready, columns)), "frame")
-    return frame, indexer.labels, columns
+    frame = materialize(indexer.transform(training.assemble(ready, choice.kept)), "frame")
+    return frame, indexer.labels, choice.kept
 
 
 def _outcome(build):

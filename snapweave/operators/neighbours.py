@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from snapweave.operators.splits import draw
+from snapweave.runtime import materialize
 from snapweave.schema import KEYS
 
 TRAIN_BLOCK = 20_000
@@ -108,6 +109,7 @@ def nearest_neighbours(
         return pd.DataFrame({"cell": cell.astype("int32"), "reach": d[np.arange(len(d)), cell]})
 
     assigned = train.withColumn("_home", home("_v")).select("*", "_home.cell", "_home.reach").drop("_home")
+    assigned = materialize(assigned, "cells")
     # One row per pivot, plus its k closest members: at most pivots x k rows.
     cells = {
         r["cell"]: r

@@ -6,7 +6,6 @@ per-column numbers on the driver; each ``apply`` is a lazy projection.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,79 +29,70 @@ def text_columns(df: DataFrame, exclude: Sequence[str] = (*KEYS, "label", "split
 # --- percentiles of whole columns -------------------------------------------------
 
 
-def exact_percentiles(
+def column_percentiles(
     df: DataFrame, columns: Sequence[str], points: Sequence[float], accuracy: int = 10_000
-) -> dict[str, dict[float, float | None]]:
-    """Exact linear-interpolation percentiles of whole columns, without sorting them.
+) -> DataFrame:
+    """Exact linear-interpolation percentiles of whole columns: feature, point, value.
 
-    Pass 1 brackets every wanted rank with mergeable sketches. Pass 2 tallies the distinct
-    values inside the brackets, a few ``1/accuracy`` of the rows, and one total for each
-    gap between brackets; the walk to the wanted ranks is one small window per column.
-    Columns with fewer than ``accuracy`` values are tallied whole.
+    No column is sorted. Mergeable sketches bracket every wanted rank; then the distinct
+    values inside the brackets, a few ``1/accuracy`` of the rows, are tallied together
+    with one total for each gap between brackets, and the walk to the wanted ranks is one
+    small window per column. Columns with fewer than ``accuracy`` values are tallied whole.
     """
     columns, points = list(columns), list(points)
-    result: dict[str, dict[float, float | None]] = {c: dict.fromkeys(points) for c in columns}
-    if not columns or not points:
-        return result
     margin = 4.0 / accuracy
     bounds = [min(1.0, max(0.0, p + s)) for p in points for s in (-margin, margin)]
-    sketch = df.agg(
-        *[F.percentile_approx(c, bounds, accuracy).alias(f"b_{i}") for i, c in enumerate(columns)],
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.min(c).alias(f"lo_{i}") for i, c in enumerate(columns)],
-        *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(columns)],
-    ).first()
-
-    def brackets(i: int) -> list[tuple[float, float]]:
-        whole = (float(sketch[f"lo_{i}"]), float(sketch[f"hi_{i}"]))
-        if sketch[f"n_{i}"] < accuracy:
-            return [whole]
-        at = [float(b) for b in sketch[f"b_{i}"]]
-        return [
-            (whole[0] if p <= margin else at[2 * j], whole[1] if p >= 1 - margin else at[2 * j + 1])
-            for j, p in enumerate(points)
-        ]
-
-    def cell(i: int, c: str) -> Column:
-        value = F.col(c).cast("double")
-        spans = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in brackets(i)])
-        inside = F.exists(spans, lambda b: (value >= b["lo"]) & (value <= b["hi"]))
-        return F.struct(
-            F.lit(i).alias("column"),
-            value.alias("value"),
-            F.when(inside, value).alias("exact"),
-            F.size(F.filter(spans, lambda b: b["hi"] < value)).alias("gap"),
-        )
-
-    present = [(i, c) for i, c in enumerate(columns) if sketch[f"n_{i}"]]
-    if not present:
-        return result
-    tally = (
-        df.select(F.explode(F.array(*[cell(i, c) for i, c in present])).alias("x"))
-        .filter("x.value IS NOT NULL")
-        .groupBy("x.column", "x.exact", F.when(F.col("x.exact").isNull(), F.col("x.gap")).alias("gap"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("x.value").alias("top"))
+    long = (
+        df.select(*[F.col(c).cast("double") for c in columns])
+        .unpivot([], columns, "feature", "value")
+        .filter("value IS NOT NULL")
     )
-    reached = tally.withColumn("upto", F.sum("rows").over(Window.partitionBy("column").orderBy("top")))
-    ranks = F.array(
-        *[F.struct(F.lit(j).alias("point"), F.lit(p).alias("p")) for j, p in enumerate(points)]
+    low, high, at = F.col("low"), F.col("high"), F.col("at")
+    around = [
+        F.struct(
+            (low if p <= margin else at[2 * j]).alias("lo"), (high if p >= 1 - margin else at[2 * j + 1]).alias("hi")
+        )
+        for j, p in enumerate(points)
+    ]
+    everything = F.array(F.struct(low.alias("lo"), high.alias("hi")))
+    # One row per column.
+    brackets = (
+        long.groupBy("feature")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            F.percentile_approx("value", bounds, accuracy).alias("at"),
+        )
+        .select("feature", "n", F.when(F.col("n") < accuracy, everything).otherwise(F.array(*around)).alias("spans"))
     )
-    sizes = F.element_at(
-        F.create_map(*[F.lit(x) for i, _ in present for x in (i, sketch[f"n_{i}"])]), F.col("column")
+    value = F.col("value")
+    inside = F.exists("spans", lambda b: (value >= b["lo"]) & (value <= b["hi"]))
+    gap = F.size(F.filter("spans", lambda b: b["hi"] < value))
+    tally = (
+        long.join(F.broadcast(brackets), "feature")
+        .withColumn("inside", inside)
+        .groupBy(
+            "feature",
+            "n",
+            F.when(F.col("inside"), value).alias("exact"),
+            F.when(~F.col("inside"), gap).alias("gap"),
+        )
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("value").alias("top"))
     )
-    picks = (
-        reached.select("*", F.explode(ranks).alias("r"))
-        .withColumn("rank", F.col("r.p") * (sizes - 1))
+    upto = F.sum("rows").over(Window.partitionBy("feature").orderBy("top"))
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("point")
+    return (
+        tally.withColumn("upto", upto)
+        .select("*", wanted)
+        .withColumn("rank", F.col("point") * (F.col("n") - 1))
         .filter("upto > floor(rank) AND upto - rows <= ceil(rank)")
-        .groupBy("column", "r.point", "rank")
+        .groupBy("feature", "point", "rank")
         .agg(F.min("exact").alias("low"), F.max("exact").alias("high"))
-        .collect()  # one row per (column, point)
+        .select(
+            "feature", "point", (low + (high - low) * (F.col("rank") - F.floor("rank"))).alias("value")
+        )
     )
-    for row in picks:
-        share = row["rank"] - math.floor(row["rank"])
-        value = row["low"] + (row["high"] - row["low"]) * share
-        result[columns[row["column"]]][points[row["point"]]] = value
-    return result
 
 
 # --- missing values ----------------------------------------------------------------
@@ -128,8 +118,10 @@ def fit_mean_fill(train: DataFrame, columns: Sequence[str]) -> Fill:
 
 def fit_median_fill(train: DataFrame, columns: Sequence[str]) -> Fill:
     """Exact train median; columns without a value stay missing."""
-    medians = exact_percentiles(train, columns, [0.5])
-    return Fill({c: m[0.5] for c, m in medians.items() if m[0.5] is not None})
+    if not columns:
+        return Fill({})
+    found = {r["feature"]: r["value"] for r in column_percentiles(train, columns, [0.5]).collect()}
+    return Fill({c: found[c] for c in columns if c in found})
 
 
 def global_mean_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -154,6 +146,7 @@ class ColumnChoice:
     kept: list[str]
     dropped: dict[str, str]
     report: DataFrame
+    fill: Fill | None = None
 
 
 def judge_columns(
@@ -180,12 +173,14 @@ def judge_columns(
     )
 
 
-def _choose(report: DataFrame, order: Sequence[str]) -> ColumnChoice:
+def _choose(report: DataFrame, order: Sequence[str], fill: Fill | None = None) -> ColumnChoice:
     status = {r["feature"]: r["status"] for r in report.select("feature", "status").collect()}
+    kept = [c for c in order if status[c] == "kept"]
     return ColumnChoice(
-        kept=[c for c in order if status[c] == "kept"],
+        kept=kept,
         dropped={c: status[c] for c in order if status[c] != "kept"},
         report=report,
+        fill=fill and Fill({c: v for c, v in fill.values.items() if c in kept}),
     )
 
 
@@ -202,16 +197,15 @@ def choose_session_columns(
 ) -> ColumnChoice:
     """Session-model rules: variance after the median fill, at or below 1e-5 drops."""
     rates = column_profile(train, numeric)
-    common = [
-        r["feature"]
-        for r in rates.filter(F.col("missing_rate") <= max_missing).select("feature").collect()
-    ]
-    filled = fit_median_fill(train, [c for c in numeric if c in common]).apply(train)
-    variances = column_profile(filled, numeric).select("feature", "variance")
+    common = {
+        r["feature"] for r in rates.filter(F.col("missing_rate") <= max_missing).select("feature").collect()
+    }
+    fill = fit_median_fill(train, [c for c in numeric if c in common])
+    variances = column_profile(fill.apply(train), numeric).select("feature", "variance")
     report = judge_columns(
         rates.drop("variance").join(variances, "feature"), max_missing, min_variance, strict=False
     )
-    return _choose(report, numeric)
+    return _choose(report, numeric, fill)
 
 
 # --- scaling, encoding, vectors ------------------------------------------------------
@@ -272,28 +266,24 @@ def padded_sequences(
 # --- choice by mutual information -----------------------------------------------------
 
 
-def quantile_edges(train: DataFrame, columns: Sequence[str], bins: int = 10) -> dict[str, list[float]]:
-    """Distinct inner bin edges per column from exact train percentiles."""
-    cuts = exact_percentiles(train, columns, [i / bins for i in range(1, bins)])
-    return {c: sorted({v for v in cut.values() if v is not None}) for c, cut in cuts.items()}
+def quantile_edges(train: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """Distinct inner bin edges per column from exact train percentiles: feature, edges."""
+    cuts = column_percentiles(train, columns, [i / bins for i in range(1, bins)])
+    return cuts.groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("edges"))
 
 
-def binned_labels(
-    df: DataFrame, edges: dict[str, list[float]], label: str = "label"
-) -> DataFrame:
-    """Counts per (feature, bin, label); a value's bin is the number of edges below it."""
-
-    def bin_of(c: str, cuts: list[float]) -> Column:
-        listed = F.array(*[F.lit(float(v)) for v in cuts]).cast("array<double>")
-        below = F.size(F.filter(listed, lambda e: e < F.col(c)))
-        return F.when(F.col(c).isNotNull(), below)
+def binned_labels(df: DataFrame, edges: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
+    """Counts per (feature, bin, label); a value's bin is the number of edges below it.
 
-    cells = [
-        F.struct(F.lit(c).alias("feature"), bin_of(c, cuts).alias("bin")) for c, cuts in edges.items()
-    ]
+    ``edges`` has one row per column, which bounds the broadcast.
+    """
+    long = df.select(F.col(label).alias("label"), *[F.col(c).cast("double") for c in columns]).unpivot(
+        "label", list(columns), "feature", "value"
+    )
+    below = F.size(F.filter("edges", lambda e: e < F.col("value")))
     return (
-        df.select(F.col(label).alias("label"), F.explode(F.array(*cells)).alias("cell"))
-        .groupBy("cell.feature", "cell.bin", "label")
+        long.join(F.broadcast(edges), "feature")
+        .groupBy("feature", F.when(F.col("value").isNotNull(), below).alias("bin"), "label")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -317,7 +307,8 @@ def choose_by_information(
     """The ``k`` columns that tell most about the label; None keeps all."""
     if k is None or k >= len(columns):
         return list(columns)
-    scores = mutual_information(binned_labels(train, quantile_edges(train, columns, bins), label))
+    cells = binned_labels(train, quantile_edges(train, columns, bins), columns, label)
+    scores = mutual_information(cells)
     best = scores.orderBy(F.col("mi").desc(), "feature").limit(k).collect()
     chosen = {r["feature"] for r in best}
     return [c for c in columns if c in chosen]
