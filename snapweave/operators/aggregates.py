@@ -11,6 +11,7 @@ from snapweave.operators.ordering import (
     POS,
     SIZE,
     fill_with_group_mean,
+    group_mean,
     model_order,
     number_by_slices,
     number_by_window,
@@ -24,22 +25,38 @@ _CLOCK, _SEQ = "_clock", "_seq"
 
 
 def _plain_statistics(f: str) -> list[Column]:
-    """Everything about one feature that merges from partial results."""
-    diff = F.col(f) - F.col(previous(f))
+    """Everything about one feature that merges from partial results.
+
+    Written with as few buffers as possible: a session row carries its mean, and row
+    numbers have a known mean and spread, so deviation and slope are single sums.
+    """
+    x, n, diff = F.col(f), F.col(SIZE), F.col(f) - F.col(previous(f))
+    size = F.max(n)
+    spread = F.nullif(size * (size * size - 1) / 12.0, F.lit(0.0))
     return [
-        F.avg(f).alias(f"{f}_mean"),
-        F.stddev_pop(f).alias(f"{f}_std"),
-        F.min(f).alias(f"{f}_min"),
-        F.max(f).alias(f"{f}_max"),
+        F.max(group_mean(f)).alias(f"{f}_mean"),
+        F.sqrt(F.avg((x - F.col(group_mean(f))) * (x - F.col(group_mean(f))))).alias(f"{f}_std"),
+        F.min(x).alias(f"{f}_min"),
+        F.max(x).alias(f"{f}_max"),
         F.avg(diff).alias(f"{f}_diff_mean"),
         F.stddev_pop(diff).alias(f"{f}_diff_std"),
         F.max(F.abs(diff)).alias(f"{f}_diff_max"),
-        F.regr_slope(F.col(f), F.col(POS).cast("double")).alias(f"{f}_trend"),
+        (F.sum((F.col(POS) - (n - 1) / 2.0) * x) / spread).alias(f"{f}_trend"),
     ]
 
 
-def _quartiles(f: str) -> Column:
-    return F.percentile(f, list(QUARTILES.values())).alias(f"_{f}_quartiles")
+def _sorted_values(f: str) -> Column:
+    return F.sort_array(F.collect_list(f)).alias(f"_{f}_sorted")
+
+
+def _at_share(f: str, p: float) -> Column:
+    """Linear interpolation in the sorted values of a session (at most ``hot_rows`` of them)."""
+    values = F.col(f"_{f}_sorted")
+    rank = F.lit(p) * (F.size(values) - 1)
+    low = F.floor(rank).cast("int")
+    below = F.get(values, low)
+    above = F.coalesce(F.get(values, low + 1), below)
+    return below + (above - below) * (rank - low)
 
 
 def _session_totals() -> list[Column]:
@@ -116,14 +133,10 @@ def session_features(
     merged = [a for f in features for a in _plain_statistics(f)] + _session_totals() + carried
 
     numbered = number_by_window(usual, keys, order, lags=lags, fill=features)
-    wide = numbered.groupBy(*keys).agg(*merged, *[_quartiles(f) for f in features])
+    wide = numbered.groupBy(*keys).agg(*merged, *[_sorted_values(f) for f in features])
     wide = wide.withColumns(
-        {
-            f"{f}_{name}": F.col(f"_{f}_quartiles")[i]
-            for f in features
-            for i, name in enumerate(QUARTILES)
-        }
-    ).drop(*[f"_{f}_quartiles" for f in features])
+        {f"{f}_{name}": _at_share(f, p) for f in features for name, p in QUARTILES.items()}
+    ).drop(*[f"_{f}_sorted" for f in features])
 
     if huge is not None:
         filled = fill_with_group_mean(huge, keys, features)

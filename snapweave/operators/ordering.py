@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from snapweave.runtime import materialize
 from snapweave.schema import KEYS
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 250_000
 
 POS, SIZE = "_pos", "_n"
 
@@ -48,6 +48,10 @@ def previous(name: str) -> str:
     return f"{name}__prev"
 
 
+def group_mean(name: str) -> str:
+    return f"{name}__mean"
+
+
 def hot_sessions(
     df: DataFrame, keys: Sequence[str] = KEYS, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame | None:
@@ -81,14 +85,21 @@ def number_by_window(
     lags: Sequence[str] = (),
     fill: Sequence[str] = (),
 ) -> DataFrame:
-    """One shuffle by key and one sort serve the mean, the row number, the size and the lags."""
+    """One shuffle by key and one sort serve the mean, the row number, the size and the lags.
+
+    Filled values replace their columns only at the end: the sort columns may be among
+    them, and a sort column that changes between two windows would cost a second sort.
+    """
     ordered = Window.partitionBy(*keys).orderBy(*order)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = df.withColumns(
-        {c: F.coalesce(F.col(c), F.avg(c).over(whole)) for c in fill}
+        {group_mean(c): F.avg(c).over(whole) for c in fill}
         | {POS: F.row_number().over(ordered).cast("long") - 1, SIZE: F.count(F.lit(1)).over(whole)}
     )
-    return out.withColumns({previous(c): F.lag(c).over(ordered) for c in lags}) if lags else out
+    filled = {c: f"{c}__filled" for c in fill}
+    out = out.withColumns({new: F.coalesce(F.col(c), F.col(group_mean(c))) for c, new in filled.items()})
+    out = out.withColumns({previous(c): F.lag(filled.get(c, c)).over(ordered) for c in lags})
+    return out.drop(*filled).withColumnsRenamed({new: c for c, new in filled.items()})
 
 
 def number_by_slices(
@@ -145,11 +156,9 @@ def fill_with_group_mean(df: DataFrame, keys: Sequence[str], columns: Sequence[s
     """Group means by aggregate and join, for groups too large for a window."""
     if not columns:
         return df
-    means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    means = df.groupBy(*keys).agg(*[F.avg(c).alias(group_mean(c)) for c in columns])
     out = df.join(F.broadcast(means), list(keys))
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_mean_{c}")) for c in columns}).drop(
-        *[f"_mean_{c}" for c in columns]
-    )
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(group_mean(c))) for c in columns})
 
 
 def number_rows(
@@ -160,8 +169,8 @@ def number_rows(
     fill: Sequence[str] = (),
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``_pos`` (0-based) and ``_n``; per lag column ``<c>__prev``; per fill column the session mean
-    where the value is missing (applied before the lag)."""
+    """Add ``_pos`` (0-based) and ``_n``; per lag column ``<c>__prev``; per fill column ``<c>__mean`` and
+    the session mean where the value is missing (applied before the lag)."""
     order = list(order or model_order(df))
     usual, huge = split_hot(df, keys, hot_rows)
     out = number_by_window(usual, keys, order, lags, fill)
