@@ -30,33 +30,34 @@ def _plain_statistics(f: str) -> list[Column]:
     Written with as few buffers as possible: a session row carries its mean, and row
     numbers have a known mean and spread, so deviation and slope are single sums.
     """
-    x, n, diff = F.col(f), F.col(SIZE), F.col(f) - F.col(previous(f))
-    size = F.max(n)
-    spread = F.nullif(size * (size * size - 1) / 12.0, F.lit(0.0))
-    return [
-        F.max(group_mean(f)).alias(f"{f}_mean"),
-        F.sqrt(F.avg((x - F.col(group_mean(f))) * (x - F.col(group_mean(f))))).alias(f"{f}_std"),
-        F.min(x).alias(f"{f}_min"),
-        F.max(x).alias(f"{f}_max"),
-        F.avg(diff).alias(f"{f}_diff_mean"),
-        F.stddev_pop(diff).alias(f"{f}_diff_std"),
-        F.max(F.abs(diff)).alias(f"{f}_diff_max"),
-        (F.sum((F.col(POS) - (n - 1) / 2.0) * x) / spread).alias(f"{f}_trend"),
-    ]
+    diff = f"(`{f}` - `{previous(f)}`)"
+    deviation = f"(`{f}` - `{group_mean(f)}`)"
+    size = f"max(`{SIZE}`)"
+    formulas = {
+        "mean": f"max(`{group_mean(f)}`)",
+        "std": f"sqrt(avg({deviation} * {deviation}))",
+        "min": f"min(`{f}`)",
+        "max": f"max(`{f}`)",
+        "diff_mean": f"avg({diff})",
+        "diff_std": f"stddev_pop({diff})",
+        "diff_max": f"max(abs({diff}))",
+        "trend": f"sum((`{POS}` - (`{SIZE}` - 1) / 2D) * `{f}`) / nullif({size} * ({size} * {size} - 1) / 12D, 0D)",
+    }
+    return [F.expr(text).alias(f"{f}_{name}") for name, text in formulas.items()]
 
 
 def _sorted_values(f: str) -> Column:
-    return F.sort_array(F.collect_list(f)).alias(f"_{f}_sorted")
+    return F.expr(f"sort_array(collect_list(`{f}`))").alias(f"_{f}_sorted")
 
 
 def _at_share(f: str, p: float) -> Column:
     """Linear interpolation in the sorted values of a session (at most ``hot_rows`` of them)."""
-    values = F.col(f"_{f}_sorted")
-    rank = F.lit(p) * (F.size(values) - 1)
-    low = F.floor(rank).cast("int")
-    below = F.get(values, low)
-    above = F.coalesce(F.get(values, low + 1), below)
-    return below + (above - below) * (rank - low)
+    values = f"`_{f}_sorted`"
+    rank = f"({p}D * (size({values}) - 1))"
+    low = f"int(floor({rank}))"
+    below = f"get({values}, {low})"
+    above = f"coalesce(get({values}, {low} + 1), {below})"
+    return F.expr(f"{below} + ({above} - {below}) * ({rank} - {low})")
 
 
 def _session_totals() -> list[Column]:
