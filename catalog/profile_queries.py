@@ -347,7 +347,7 @@ def stub_cache(prompts):
 
 
 def scored(spark, sf):
-    prompts = materialize(stub_prompts(spark, sf), "prompts")
+    prompts = stub_prompts(spark, sf)
     return sc.score_sessions(prompts, stub_cache(prompts), stub_scorer, CONFIG)
 
 
