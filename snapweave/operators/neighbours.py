@@ -163,7 +163,8 @@ def nearest_neighbours(
 
     def search(t: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if t.empty or r.empty:
-            return pd.DataFrame({"_test": [], "_name": [], "label": [], "distance": []})
+            texts = {c: pd.Series([], dtype=object) for c in ("_test", "_name", "label")}
+            return pd.DataFrame(texts | {"distance": pd.Series([], dtype="float64")})
         return _nearest_in_block(t, r, k)
 
     where = ["cell", "block", "part"]
