@@ -27,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def r(column: str | Column, digits: int = 4) -> Column:
+    if isinstance(column, str):
+        return F.expr(f"round(`{column}` + {SHIFT!r}D, {digits})")
+    return F.round(column + F.lit(SHIFT), digits)
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded for comparison."""
     return df.withColumns(
@@ -34,11 +40,6 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     )
 
 
-def r(column: str | Column, digits: int = 4) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return F.round(c + F.lit(SHIFT), digits)
-
-
 def sr(expression: str, alias: str | None = None, digits: int = 4) -> str:
     """SQL text of the same rounding."""
     text = f"round(CAST({expression} AS DOUBLE) + {SHIFT!r}, {digits})"

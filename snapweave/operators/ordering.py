@@ -62,9 +62,11 @@ def hot_sessions(
     """
     if hot_rows is None:
         return None
-    found = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-    written = materialize(found, "hot-sessions")
-    return None if written.isEmpty() else written
+    sizes = df.groupBy(*keys).count()
+    largest = sizes.agg(F.max("count")).first()[0]
+    if largest is None or largest <= hot_rows:
+        return None
+    return materialize(sizes.filter(F.col("count") > hot_rows).select(*keys), "hot-sessions")
 
 
 def split_hot(
