@@ -587,7 +587,7 @@ def m9(spark, sf):
     pipeline = training.model_pipeline(training.random_forest(10, maxDepth=5), columns)
     step, _, forest = pipeline.getStages()
     space = {step.k: [20, len(columns)], forest.maxDepth: [4, 8]}
-    search = training.grouped_search(train, pipeline, space, n=2)
+    search = training.grouped_search(train, pipeline, space, n=2, parallelism=4)
     best = training.predictions(search.bestModel, frame.filter("split = 'test'").drop("features"), names)
     return best.select(*KEYS, "label", "pred_label", r(F.lit(float(max(search.avgMetrics)))).alias("cv_macro_f1"))
 

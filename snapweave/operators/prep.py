@@ -112,8 +112,8 @@ def fit_mean_fill(train: DataFrame, columns: Sequence[str]) -> Fill:
     """Train mean; 0 where a column has no value at all."""
     if not columns:
         return Fill({})
-    row = train.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)]).first()
-    return Fill({c: row[i] if row[i] is not None else 0.0 for i, c in enumerate(columns)})
+    means = _per_column(train, columns, "avg(`{0}`)")
+    return Fill({c: m if m is not None else 0.0 for c, m in means.items()})
 
 
 def fit_median_fill(train: DataFrame, columns: Sequence[str]) -> Fill:
@@ -196,16 +196,22 @@ def choose_session_columns(
     train: DataFrame, numeric: Sequence[str], max_missing: float = 0.25, min_variance: float = 1e-5
 ) -> ColumnChoice:
     """Session-model rules: variance after the median fill, at or below 1e-5 drops."""
-    rates = column_profile(train, numeric)
-    common = {
-        r["feature"] for r in rates.filter(F.col("missing_rate") <= max_missing).select("feature").collect()
-    }
-    fill = fit_median_fill(train, [c for c in numeric if c in common])
-    variances = column_profile(fill.apply(train), numeric).select("feature", "variance")
-    report = judge_columns(
-        rates.drop("variance").join(variances, "feature"), max_missing, min_variance, strict=False
+    if not numeric:
+        raise ValueError("no candidate columns")
+    rates = _per_column(train, numeric, "avg(CAST(`{0}` IS NULL AS DOUBLE))")
+    fill = fit_median_fill(train, [c for c in numeric if rates[c] is not None and rates[c] <= max_missing])
+    variances = _per_column(fill.apply(train), numeric, "var_samp(`{0}`)")
+    rows = [(c, "numeric", rates[c], variances[c], None) for c in numeric]
+    profile = train.sparkSession.createDataFrame(
+        rows, "feature string, kind string, missing_rate double, variance double, n_distinct long"
     )
-    return _choose(report, numeric, fill)
+    return _choose(judge_columns(profile, max_missing, min_variance, strict=False), numeric, fill)
+
+
+def _per_column(df: DataFrame, columns: Sequence[str], formula: str) -> dict[str, float | None]:
+    """One aggregate row: the same formula for every column."""
+    row = df.agg(*[F.expr(formula.format(c)).alias(f"v_{i}") for i, c in enumerate(columns)]).first()
+    return dict(zip(columns, row))
 
 
 # --- scaling, encoding, vectors ------------------------------------------------------

@@ -148,8 +148,12 @@ def label_indexer(train: DataFrame, label: str = "label") -> Model:
 
 
 def random_forest(trees: int = 100, seed: int = 42, weight: str | None = None, **options) -> RandomForestClassifier:
-    """Trees grow to Spark's depth limit unless told otherwise."""
-    settings = {"maxDepth": MAX_TREE_DEPTH, "featureSubsetStrategy": "sqrt", **options}
+    """Trees grow to Spark's depth limit unless told otherwise.
+
+    Deep trees have many open nodes; the memory setting lets one pass over the data split
+    more of them.
+    """
+    settings = {"maxDepth": MAX_TREE_DEPTH, "featureSubsetStrategy": "sqrt", "maxMemoryInMB": 1024, **options}
     model = RandomForestClassifier(labelCol="label_index", numTrees=trees, seed=seed, **settings)
     return model.setWeightCol(weight) if weight else model
 
