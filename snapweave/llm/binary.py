@@ -1,7 +1,7 @@
-"""Token-ID output: flat files of unsigned 32-bit ids and of 64-bit document offsets.
+"""Token-ID output: flat files of unsigned integers and of 64-bit document offsets.
 
-A data set is a folder of shards. Shard ``n`` holds ``n.ids`` (little-endian uint32, all
-documents one after the other), ``n.off`` (int64: the first id of each document, counted over
+A data set is a folder of shards. Shard ``n`` holds ``n.ids`` (little-endian, 16 bits wide where
+the vocabulary has at most 65,536 ids, else 32; all documents one after the other), ``n.off`` (int64: the first id of each document, counted over
 the whole data set, and one closing offset) and ``n.doc`` (int64 document numbers). Shards follow one
 another in document order, so the data set is one flat sequence cut at document borders.
 
@@ -29,7 +29,15 @@ _SHARDS = "shard int, first_doc bigint, n_docs bigint, n_null bigint, n_ids bigi
 _DOCS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:
+def width(vocabulary: str) -> str:
+    """The narrowest of the two id types that holds every id of a vocabulary."""
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(vocabulary).get_vocab().values()
+    return "<u2" if max(ids) < 2**16 else "<u4"
+
+
+def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int, kind: str) -> DataFrame:
     """Encode ``doc_id, text`` of every row into shards under ``folder``; gives the shard table with bases."""
     make_folder(folder)
 
@@ -46,7 +54,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> Dat
                 own = batch.column("doc_id").to_pylist()
                 for group in text_groups(batch.column("text").to_pylist()):
                     for found in cache.encode(group):
-                        piece = np.append(found, np.uint32(end_id)).astype("<u4")
+                        piece = np.append(found, np.uint32(end_id)).astype(kind)
                         nulls += own[at] is None
                         numbers.append(own[at] or 0)
                         lengths.append(len(piece))
@@ -81,7 +89,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> Dat
     return materialize(dealt_out.mapInArrow(offsets, f"{_SHARDS}, base bigint"), "bases")
 
 
-def read_ids(shards: DataFrame, folder: str) -> DataFrame:
+def read_ids(shards: DataFrame, folder: str, kind: str) -> DataFrame:
     """One row per document from the files alone: ``doc_id, start, n_tokens, ids_crc32``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +100,9 @@ def read_ids(shards: DataFrame, folder: str) -> DataFrame:
                     some = min(20_000, n - at)
                     off = np.asarray(read_array(f"{folder}/{row['shard']}.off", "<i8", at, some + 1))
                     numbers = read_array(f"{folder}/{row['shard']}.doc", "<i8", at, some)
-                    ids = read_array(f"{folder}/{row['shard']}.ids", "<u4", int(off[0] - row["base"]), int(off[-1] - off[0]))
+                    ids = read_array(f"{folder}/{row['shard']}.ids", kind, int(off[0] - row["base"]), int(off[-1] - off[0]))
                     cuts = (off - off[0]).tolist()
-                    sums = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+                    sums = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(cuts, cuts[1:])]
                     missing = np.arange(at, at + some) < row["n_null"]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -112,4 +120,5 @@ def read_ids(shards: DataFrame, folder: str) -> DataFrame:
 def binary_round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Write the ids of all documents in ascending ``doc_id`` order and read the files back."""
     folder = scratch_path(spark, "ids")
-    return read_ids(write_ids(docs, folder, vocabulary, end_id), folder)
+    kind = width(vocabulary)
+    return read_ids(write_ids(docs, folder, vocabulary, end_id, kind), folder, kind)

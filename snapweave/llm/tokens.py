@@ -28,13 +28,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+# Marks in front of a key; a text that holds one goes to the library whole.
+MARK, FIRST = "\ue000", "\ue001"
+ODD = 0  # place of keys with white space that can be cut in more than one way
+
+
 class WordCache:
     """Ids of texts by one vocabulary file. Special-token strings inside a text are ordinary text.
 
     A text is cut at its spaces and line breaks, and before a comma or full stop that follows a
-    letter and ends a word. Where a space belongs to the word after it (no word-end marker in the
-    vocabulary), a key stands for the word with its space, ``\\n`` in front for a line break and
-    the word, ``\\r`` for the word that starts a text; a lone mark follows its word directly.
+    letter and ends a word. Where white space counts (no word-end marker in the vocabulary), a key
+    stands for the word with the space before it; with a line break in front for the break and the
+    word; with ``FIRST`` for the word that starts a text; with ``MARK`` for what was cut off a word.
     """
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
@@ -64,28 +69,28 @@ class WordCache:
     def _reset(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        self.starts = np.zeros(2, np.int64)  # the odd place is empty
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add(self, words: list[str]) -> None:
         """Letters up to U+017F are one pre-token and need no normal form but lower case: straight to the merges."""
-        merge, letters, fresh, rest = self.merge, self.letters, [], []
+        merge, letters, fresh, rest, odd = self.merge, self.letters, [], [], []
         for word in words:
+            head = word[:1]
             if self.drops_space:
                 lead, body, space = "", word, ""
-            elif word[0] in ",.":
-                lead, body, space = "", word, ""
-                if len(word) > 1:
-                    space = " "
-            elif word[0] == "\n":
+            elif head == "\n":
                 lead, body, space = "\n", word[1:], ""
-            elif word[0] == "\r":
+            elif head in (FIRST, MARK):
                 lead, body, space = "", word[1:], ""
             else:
                 lead, body, space = "", word, " "
-            if body.isalpha() and max(body) < "\u0180" and "\u0130" not in body:
+            if not self.drops_space and (not body or len(body.split()) > 1 or body != body.strip()):
+                odd.append(word)
+                fresh.append([])
+            elif body.isalpha() and max(body) < "\u0180" and "\u0130" not in body:
                 whole = space + (body.lower() if self.drops_space else body)
                 ids = [t.id for t in merge(whole.encode().decode("latin-1").translate(letters))]
                 fresh.append([t.id for t in merge(letters[10])] + ids if lead else ids)
@@ -98,22 +103,19 @@ class WordCache:
                 fresh[n] = ids
         first = len(self.starts) - 1
         self.place.update(zip(words, range(first, first + len(fresh)), strict=True))
+        self.place.update(dict.fromkeys(odd, ODD))
         ends = np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(fresh), np.uint32, int(ends[-1]))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
 
     def _words(self, text: str) -> list[str] | None:
-        """Keys of a text's words; None if its white space is not plain or a mark stands alone."""
-        words = text.split()
-        blank = len(text) - sum(map(len, words))
-        if text.count(" ") + text.count("\n") != blank:
-            return None
+        """Keys of a text's words; None if it holds a mark."""
         if self.drops_space:
-            return self.apart(r" \g<0>", text.lower() if text.isascii() else text).split()
-        if len(words) != blank + 1 or "," in words or "." in words:
+            return self.apart(r" \g<0>", text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+        if MARK in text or FIRST in text:
             return None
-        words = self.apart(r" \g<0>", text).replace("\n", " \n").split(" ")
-        words[0] = "\r" + words[0]
+        words = self.apart(" " + MARK + r"\g<0>", text).replace("\n", " \n").split(" ")
+        words[0] = FIRST + words[0]
         return words
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -129,27 +131,29 @@ class WordCache:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._words(t) if t else [] for t in texts]
-        odd = [i for i, words in enumerate(split) if words is None]
-        found = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True)) if odd else {}
+        split = [(self._words(t) if t else []) for t in texts]
+        whole = {i for i, words in enumerate(split) if words is None}
         split = [words or [] for words in split]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        total = int(counts.sum())
-        places = np.fromiter(map(self.place.get, chain.from_iterable(split), repeat(-1)), np.int64, total)
+        cuts = np.concatenate([[0], np.cumsum(counts)])
+        places = np.fromiter(map(self.place.get, chain.from_iterable(split), repeat(-1)), np.int64, int(cuts[-1]))
         missing = np.flatnonzero(places < 0)
         if len(missing):
             every = list(chain.from_iterable(split))
             words = [every[i] for i in missing]
             self._add(list(dict.fromkeys(words)))
             places[missing] = list(map(self.place.__getitem__, words))
+        whole.update((np.searchsorted(cuts, np.flatnonzero(places == ODD), "right") - 1).tolist())
         lengths = self.starts[places + 1] - self.starts[places]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         source = np.repeat(self.starts[places] - ends[:-1], lengths) + np.arange(int(ends[-1]))
         ids = self.flat[source]
-        borders = ends[np.concatenate([[0], np.cumsum(counts)])]
-        return [
-            np.array(found[i], np.uint32) if i in found else ids[borders[i] : borders[i + 1]] for i in range(len(texts))
-        ]
+        borders = ends[cuts]
+        out = [ids[borders[i] : borders[i + 1]] for i in range(len(texts))]
+        asked = sorted(whole)
+        for i, found in zip(asked, self._whole([texts[i] for i in asked]) if asked else [], strict=True):
+            out[i] = np.array(found, np.uint32)
+        return out
 
 
 def text_groups(texts: list[str | None], most_chars: int = 1_000_000):
