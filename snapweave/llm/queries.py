@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.registry import query
-from snapweave.llm import binary, packing, pii, secrets, topk, urls
+from snapweave.llm import binary, decontam, html, jaccard, langid, packing, pii, secrets, topk, urls
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,17 @@ def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query("op2_jaccard_join")
+def jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_language_id")
+def language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 RULES = [
     urls.parse_rule(text)
     for text in (
@@ -45,6 +56,11 @@ def private_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_private(table(spark, sf, "documents"))
 
 
+@query("op6_main_text")
+def main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf, "pages"))
+
+
 @query("op7_exact_top_k")
 def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -56,6 +72,11 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
 
 
+@query("op9_decontamination")
+def decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op10_token_files")
 def token_files(spark: SparkSession, sf: str) -> DataFrame:
     return binary.binary_round_trip(spark, table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
