@@ -7,12 +7,12 @@ difference is at most a seventh of their sizes' sum.
    Few differences leave parts equal, so linked sets share keys (pigeonhole per size band,
    ``shingles.signature``). Equal sets have one node, a hash of the set.
 2. Keys are brought together; a key's least node is its leader. Pairs (leader, member) are tested
-   first by size and by the Hamming distance of the 512-bit parity sketches, then by
+   first by size and by the Hamming distance of bit sketches, then by
    exact intersection. Links give components.
 3. A key whose members are in one component is settled: a large group of copies costs one
    pair per member. In unsettled keys of at most ``FEW`` rows every pair between components is tested.
 4. Unsettled keys of more rows come from passages that many documents share. Linked sets share more
-   than d / 2 keys, so a set with fewer such keys is found by its other keys. The sets
+   than d / 4 keys, so a set with fewer such keys is found by its other keys. The sets
    that have more are joined again with parts of one element each: prefixes by rarest
    element first, where a shared passage comes last. This is exact for sets of any make-up; only
    sets that consist of shared passages nearly whole and are still not linked
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snapweave.llm.components import connected_components
 from snapweave.llm.langid import _texts_as_bytes
@@ -38,7 +38,8 @@ FEW = 16
 BROADCAST_ROWS = 500_000
 CHUNK_BYTES = 1_000_000
 HELD_ROWS = 500_000
-_WORDS = [f"s{k}" for k in range(8)]
+# Elements that may meet by chance in 32 bits between two sets: more has no measurable probability up to 10**5 elements.
+CHANCE = 16
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -60,7 +61,7 @@ def _fingerprints(sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """One row per document: ``_row, doc_id, n, node, check`` and the sketch ``s0..s7``; ``node`` is null without words."""
+    """One row per document: ``_row, doc_id, n, node, check, sketch``; ``node`` is null without words."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +69,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 sets, cuts = shingle_sets(data, offsets)
                 n = np.diff(cuts)
                 node, check = _fingerprints(sets, cuts)
-                sketch = parity_sketches(sets, cuts)
+                words, borders = parity_sketches(sets, cuts)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -77,12 +78,12 @@ def document_sets(docs: DataFrame) -> DataFrame:
                         pa.array(n, pa.int64()),
                         pa.array(node, pa.int64(), mask=n == 0),
                         pa.array(check, pa.int64()),
-                        *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(8)),
+                        pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(words)),
                     ],
-                    names=[ROW, "doc_id", "n", "node", "check", *_WORDS],
+                    names=[ROW, "doc_id", "n", "node", "check", "sketch"],
                 )
 
-    schema = f"{ROW} bigint, doc_id bigint, n bigint, node bigint, check bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)
+    schema = f"{ROW} bigint, doc_id bigint, n bigint, node bigint, check bigint, sketch array<bigint>"
     return numbered(docs).select(ROW, F.col("doc_id").cast("long"), "text").mapInArrow(describe, schema)
 
 
@@ -156,6 +157,17 @@ def gather(signed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_groups_in_order, "key bigint, leader bigint, node bigint, size bigint")
 
 
+def _hamming(a: Column, b: Column) -> Column:
+    """Of two sketches of which one is at most twice as long: it is halved first."""
+
+    def halved(x: Column, n: Column) -> Column:
+        return F.when(F.size(x) > n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    n = F.least(F.size(a), F.size(b))
+    apart = F.zip_with(halved(a, n), halved(b, n), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(apart, F.lit(0), lambda x, y: x + y)
+
+
 class SetJoin:
     """Tests of pairs of nodes against the documents' sets."""
 
@@ -166,42 +178,59 @@ class SetJoin:
             F.min("n").alias("n"),
             F.min(ROW).alias(ROW),
             (F.min("check") == F.max("check")).alias("one"),
-            *(F.min(w).alias(w) for w in _WORDS),
+            F.any_value("sketch").alias("sketch"),
         )
         self.nodes = materialize(kept.withColumn("n", F.when(F.col("one"), F.col("n")).otherwise(clash)).drop("one"), "nodes")
 
-    def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """``node, elements`` of the given nodes, computed anew from one document each."""
+    def sets_of(self, wanted: DataFrame, bits: int = 64) -> DataFrame:
+        """``node, elements`` of the given nodes, computed anew from one document each; hashes cut to 32 or all 64 bits."""
         places = materialize(wanted.join(self.nodes.select("node", ROW), "node"), "wanted")
         if places.count() <= BROADCAST_ROWS:
             places = F.broadcast(places)
         texts = numbered(self.docs).select(ROW, "text").join(places, ROW).select("node", "text")
+        kind = np.int32 if bits == 32 else np.int64
 
         def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b, data, offsets in _chunks(batch.column("text")):
                     sets, cuts = shingle_sets(data, offsets)
-                    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(sets.view(np.int64)))
+                    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(sets.view(np.int64).astype(kind)))
                     yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), lists], names=["node", "elements"])
 
-        return texts.mapInArrow(elements, "node bigint, elements array<bigint>")
+        return texts.mapInArrow(elements, f"node bigint, elements array<{'int' if bits == 32 else 'bigint'}>")
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """``a, b`` of the pairs whose similarity is at least 3/4."""
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, na, nb`` of the pairs that sizes and sketches do not rule out."""
         near = pairs.select("a", "b").distinct()
         for side in "ab":
-            own = self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), *(F.col(w).alias(w + side) for w in _WORDS))
+            own = self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
             near = near.join(own, side)
-        distance = sum((F.bit_count(F.col(w + "a").bitwiseXOR(F.col(w + "b"))) for w in _WORDS), F.lit(0))
-        near = near.where(
-            (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * distance <= F.col("na") + F.col("nb"))
-        )
-        near = materialize(near.select("a", "b", "na", "nb"), "near")
-        sets = materialize(self.sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+            if side == "b":
+                near = near.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
+        near = near.where(7 * _hamming(F.col("sa"), F.col("sb")) <= F.col("na") + F.col("nb"))
+        return materialize(near.select("a", "b", "na", "nb"), "near")
+
+    def _counted(self, near: DataFrame, bits: int) -> DataFrame:
+        sets = self.sets_of(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), bits)
         for side in "ab":
             near = near.join(sets.select(F.col("node").alias(side), F.col("elements").alias(f"e{side}")), side)
-        shared = F.size(F.array_intersect("ea", "eb"))
-        return materialize(near.where(4 * shared >= 3 * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "links")
+        # The margin by which the similarity is above 3/4, in elements.
+        shared = F.size(F.array_intersect("ea", "eb")) if bits == 64 else F.size("ea") - F.size(F.array_except("ea", "eb"))
+        total = F.col("na") + F.col("nb")
+        return materialize(near.select("a", "b", "na", "nb", (7 * shared - 3 * total).alias("margin")), "counted")
+
+    def linked(self, near: DataFrame) -> DataFrame:
+        """``a, b`` of the pairs whose similarity is at least 3/4: 4 * shared >= 3 * (na + nb - shared).
+
+        Halves of the hashes are compared first. Where two elements meet there by chance the count is too high by
+        one; pairs so near the border that this might matter are counted anew with whole hashes.
+        """
+        first = self._counted(near, 32)
+        close = first.where((F.col("margin") >= 0) & (F.col("margin") < 7 * CHANCE)).select("a", "b", "na", "nb")
+        sure = first.where(F.col("margin") >= 7 * CHANCE).select("a", "b")
+        if close.isEmpty():
+            return sure
+        return sure.unionByName(self._counted(close, 64).where(F.col("margin") >= 0).select("a", "b"))
 
 
 def _with_component(groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -241,27 +270,43 @@ def near_duplicate_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     described = materialize(document_sets(docs), "described")
     join = SetJoin(docs, described)
     groups = materialize(gather(signatures(docs)), "groups")
-    links = join.linked(_star(groups))
-    members = connected_components(links)
+    links, members = _link_stars(join, groups, None)
     rest = materialize(_unsettled(_with_component(groups, members)), "unsettled")
     pairs = _pairs_between(rest.where(F.col("size") <= FEW))
     many = rest.where(F.col("size") > FEW).groupBy("node").agg(F.count("*").alias("keys"))
-    # Linked sets share more than d / 2 keys, which is an eighth of the larger one's size at least where no set has
+    # Linked sets share more than d / 4 keys, which is a sixteenth of the larger one's size at least where no set has
     # fewer non-empty parts than are asked for. With a margin for those: a set of whose keys fewer than a
-    # thirteenth of its size are frequent shares another key with each of its partners.
-    mixed = materialize(many.join(join.nodes.select("node", "n"), "node").where(F.col("keys") * 13 >= F.col("n")).select("node"), "mixed")
+    # twentieth of its size are frequent shares another key with each of its partners.
+    mixed = materialize(many.join(join.nodes.select("node", "n"), "node").where(F.col("keys") * 20 >= F.col("n")).select("node"), "mixed")
     if not mixed.isEmpty():
         again = materialize(_rarest_first(join.sets_of(mixed)), "again")
-        more = join.linked(_star(again))
-        links = links.unionByName(more)
-        members = connected_components(links)
+        links, members = _link_stars(join, again, links)
         pairs = pairs.unionByName(_pairs_between(_unsettled(_with_component(again, members))))
-    more = join.linked(pairs)
+    more = join.linked(join.near(pairs))
     if not more.isEmpty():
         members = connected_components(links.unionByName(more))
     return described, materialize(members, "members")
 
 
+def _link_stars(join: SetJoin, groups: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links and components after all pairs of leaders and members are settled: first one leader for each member, then
+    those of its other leaders that are still in another component."""
+    near = join.near(_star(groups))
+    first = near.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("x")).select("x.a", "b", "x.na", "x.nb")
+    found = join.linked(first)
+    links = found if links is None else links.unionByName(found)
+    members = connected_components(links)
+    for side in "ab":
+        own = members.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        near = near.join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    left = near.where(F.col("ca") != F.col("cb")).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    more = join.linked(materialize(left.select("a", "b", "na", "nb"), "left"))
+    if more.isEmpty():
+        return links, members
+    links = links.unionByName(more)
+    return links, connected_components(links)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``_row, doc_id, n_shingles, component_id`` for every row.
 

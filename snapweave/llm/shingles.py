@@ -83,17 +83,21 @@ def reduce_by(function: np.ufunc, values: np.ndarray, cuts: np.ndarray) -> np.nd
     return out
 
 
-SKETCH_BITS = 512
+def parity_sketches(sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit sketches as 64-bit words one after the other, and their cuts.
 
-
-def parity_sketches(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Bit sketches: an element flips one bit, so the Hamming distance of two sketches never exceeds the
-    symmetric difference of their sets. 8 words of 64 bits per set."""
-    docs = len(cuts) - 1
-    doc = np.repeat(np.arange(docs), np.diff(cuts))
-    bit = (sets & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    parity = np.bincount(doc * SKETCH_BITS + bit, minlength=docs * SKETCH_BITS).astype(np.uint8) & 1
-    return np.packbits(parity.reshape(docs, SKETCH_BITS), axis=1).view(np.int64)
+    An element flips one bit, so the Hamming distance of two sketches never exceeds the symmetric difference of
+    their sets. A sketch has 2 to 4 bits per element, a power of two; XOR of its halves is the sketch half as long.
+    """
+    n = np.diff(cuts)
+    bits = np.full(len(n), 64, np.int64)
+    large = n > 32
+    bits[large] = 1 << np.ceil(np.log2(2 * n[large])).astype(np.int64)
+    borders = np.concatenate([[0], np.cumsum(bits)])
+    own = np.repeat(bits - 1, n)
+    place = np.repeat(borders[:-1], n) + (sets & own.astype(np.uint64)).astype(np.int64)
+    parity = np.bincount(place, minlength=int(borders[-1])).astype(np.uint8) & 1
+    return np.packbits(parity).view(np.int64), borders // 64
 
 
 def level_of(n: int) -> int:
@@ -122,17 +126,17 @@ def signature(own: np.ndarray) -> np.ndarray:
 
     Sets that differ in at most d elements differ in at most d parts. Of the first K non-empty parts of
     each, in the order of the parts, at least K - d of one set are then equal non-empty parts among those of the
-    other. K is 1.5 d + 2, so more than d / 2 keys are shared.
+    other. K is 1.25 d + 2, so more than d / 4 keys are shared.
     """
     n = len(own)
     level, low = level_of(n), -(-3 * n // 4)
     differ = most_different(n, 4 * n // 3)
-    keys = [part_keys(own, level, differ + differ // 2 + 2)]
+    keys = [part_keys(own, level, differ + differ // 4 + 2)]
     if level_of(low) != level:
         # The largest set of the lower level bounds the difference.
         most = low
         while level_of(most + 1) == level_of(low) and most + 1 < n:
             most += 1
         differ = most_different(n, most)
-        keys.append(part_keys(own, level_of(low), differ + differ // 2 + 2))
+        keys.append(part_keys(own, level_of(low), differ + differ // 4 + 2))
     return np.concatenate(keys)
