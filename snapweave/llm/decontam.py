@@ -155,15 +155,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, leas
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST_CHARS) -> DataFrame:
     """Rows that hold no item within its budget; all columns as they are."""
-    names, schema = docs.columns, docs.schema
+    schema = docs.schema
     for items in _blocks(benchmark, least):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, share)
             for batch in batches:
-                good = [not matcher.find(plain(t)) for t in batch.column("_text").to_pylist()]
-                yield batch.select(names).filter(pa.array(good, pa.bool_()))
+                good = [not matcher.find(plain(t)) for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(good, pa.bool_()))
 
-        docs = docs.select("*", F.col("text").alias("_text")).mapInArrow(clean, schema)
+        docs = docs.mapInArrow(clean, schema)
     return docs

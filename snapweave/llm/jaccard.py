@@ -61,7 +61,7 @@ def _fingerprints(sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """One row per document: ``_row, doc_id, n, node, check, sketch``; ``node`` is null without words."""
+    """One row per document: ``__row__, doc_id, n, node, check, sketch``; ``node`` is null without words."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +308,7 @@ def _link_stars(join: SetJoin, groups: DataFrame, links: DataFrame | None) -> tu
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``_row, doc_id, n_shingles, component_id`` for every row.
+    """``__row__, doc_id, n_shingles, component_id`` for every row.
 
     A document's component is named by the smallest ``doc_id`` that links reach from it, its own included (null if
     all of them are null). Null text, empty text and text without words have no shingles and are linked with nothing.

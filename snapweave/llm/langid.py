@@ -267,13 +267,13 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 def keep_readable(docs: DataFrame, network: Network | None, least: float = 0.0) -> DataFrame:
     """Rows whose language the network names, with at least that score; all columns as they are."""
     names, schema = docs.columns, docs.schema
-    text = [docs["text"].alias("_text"), _has_letter().alias("_readable")]
+    flag = "__readable__"
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            view = pa.RecordBatch.from_arrays([batch.column("_text"), batch.column("_readable")], names=["text", "readable"])
+            view = pa.RecordBatch.from_arrays([batch.column("text"), batch.column(flag)], names=["text", "readable"])
             found, scores = predict_batch(network, view)
             good = pa.array([name != UNKNOWN and score >= least for name, score in zip(found, scores, strict=True)], pa.bool_())
             yield batch.select(names).filter(good)
 
-    return docs.select("*", *text).mapInArrow(keep, schema)
+    return docs.withColumn(flag, _has_letter()).mapInArrow(keep, schema)

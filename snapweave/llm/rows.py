@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-ROW = "_row"
+ROW = "__row__"
 
 
 def numbered(docs: DataFrame) -> DataFrame:

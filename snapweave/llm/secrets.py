@@ -68,7 +68,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", owners: int = OWNERS) -> DataFrame:
-    """One row per document: ``_row, doc_id``, counts, ``base_sha256``, ``spans``, ``live_spans``, ``n_live``, ``n_example``.
+    """One row per document: ``__row__, doc_id``, counts, ``base_sha256``, ``spans``, ``live_spans``, ``n_live``, ``n_example``.
 
     ``live_spans`` lists added spans and base spans that hold a value of at most ``owners`` owners.
     Null text is empty and has no spans; rows without an owner count as one owner of their own.
@@ -133,6 +133,7 @@ def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", o
 
 
 MASK = "[secret]"
+HIT = "__hit__"
 
 
 def _masked(text: str, added: list[str], live_values: set[str]) -> str:
@@ -152,20 +153,20 @@ def mask_live_secrets(docs: DataFrame) -> DataFrame:
     """Documents with credentials of a single owner masked in ``text`` (and ``n_chars`` counted anew, where there
     is one). Copied examples and every other document stay as they are."""
     found = find_secrets(docs).where((F.size("added") > 0) | (F.size("live_values") > 0))
-    hit = materialize(found.select(ROW, "added", "live_values"), "live")
+    hit = materialize(found.select(ROW, F.struct("added", "live_values").alias(HIT)), "live")
     joined = numbered(docs).join(hit, ROW, "left")
-    untouched = joined.where(F.col("added").isNull()).select(*docs.columns)
+    untouched = joined.where(F.col(HIT).isNull()).select(*docs.columns)
     names, schema = docs.columns, docs.schema
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "added", "live_values")), strict=True)
-            texts = [_masked(text, added, set(live)) for text, added, live in rows]
+            rows = zip(batch.column("text").to_pylist(), batch.column(HIT).to_pylist(), strict=True)
+            texts = [_masked(text, hit["added"], set(hit["live_values"])) for text, hit in rows]
             columns = {c: batch.column(c) for c in names}
             columns["text"] = pa.array(texts, batch.column("text").type)
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array(list(map(len, texts)), columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    masked = joined.where(F.col("added").isNotNull()).select(*names, "added", "live_values").mapInArrow(mask, schema)
+    masked = joined.where(F.col(HIT).isNotNull()).select(*names, HIT).mapInArrow(mask, schema)
     return untouched.unionByName(masked)
