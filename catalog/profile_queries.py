@@ -73,7 +73,7 @@ def s4(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(format_text(F.col("text"))).alias("shown"))
 
 
-CUT = "CASE WHEN length({c}) > 2500 THEN substr({c}, 1, 2500) || chr(10) || '... [TRUNCATED] ...' ELSE coalesce({c}, '') END"
+CUT = "CASE WHEN length({c}) > 2500 THEN substr({c}, 1, 2500) || chr(10) || '[the rest of this snapshot is left out]' ELSE coalesce({c}, '') END"
 
 
 @query("s5_cut_code", f"SELECT doc_id, md5(c) AS code, length(c) AS chars FROM (SELECT doc_id, {CUT.format(c='text')} AS c FROM documents)")
@@ -251,7 +251,7 @@ def prompt_ctes(template: pr.Template) -> dict[str, str]:
             return f"coalesce({c}, 'NA')"
         return f"coalesce(CAST({c} AS VARCHAR), 'NA')" if c in (*WHOLE, "n_events") else number_sql(c)
 
-    lines = ", ".join(f"CASE WHEN v_{c} THEN '- {c}: ' || {shown(c)} END" for c in PROMPT_COLUMNS)
+    lines = ", ".join(f"CASE WHEN v_{c} THEN '{c}: ' || {shown(c)} END" for c in PROMPT_COLUMNS)
     titles = template.note_titles
     return {
         "first_table": "SELECT * FROM session_table WHERE row_no = 1",
@@ -263,9 +263,9 @@ def prompt_ctes(template: pr.Template) -> dict[str, str]:
         "placed": """SELECT k.*, r.* EXCLUDE (user_id, exercise_id), row_number() OVER (PARTITION BY k.user_id, k.exercise_id ORDER BY pos) AS i
             FROM kept k JOIN roles r ON r.user_id = k.user_id AND r.exercise_id = k.exercise_id""",
         "blocks": f"""SELECT user_id, exercise_id, pos, rationale, sess_stats, evidence,
-              concat_ws(chr(10), 'FEATURES OF CODE SNAPSHOT ' || i || ' (t=' || {number_sql('seconds_from_start')} || ' seconds):',
-                coalesce(nullif(concat_ws(chr(10), {lines}), ''), '- (no varying features detected)'), '',
-                'CODE SNAPSHOT ' || i || ':', '```python', {CUT.format(c='code_snapshot')}, '```', repeat('-', 50)) AS block
+              '### Snapshot ' || i || ', second ' || {number_sql('seconds_from_start')} || chr(10) || 'Changing values: '
+                || coalesce(nullif(concat_ws('; ', {lines}), ''), 'none') || chr(10) || '~~~' || chr(10)
+                || {CUT.format(c='code_snapshot')} || chr(10) || '~~~' || chr(10) AS block
             FROM placed""",
         "texts": """SELECT user_id, exercise_id, string_agg(block, chr(10) ORDER BY pos) AS snapshots_text, count(*) AS snapshots_kept,
               coalesce(any_value(rationale), 'NA') AS rationale, coalesce(any_value(sess_stats), 'NA') AS sess_stats,

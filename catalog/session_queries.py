@@ -717,3 +717,88 @@ def u2(spark, sf):
 )
 def u3(spark, sf):
     return lost_classes(with_validation(split_by_user(session_table(spark, sf))), "many")
+
+
+# --- the same operators where sessions are cut into slices -----------------------------------
+
+# A third of the rows in one session, missing order values and keys, and a counter that is nearly always 0.
+_HOT = "event_id % 3 = 0"
+SLICED = 40
+AWKWARD_SQL = f"""SELECT * REPLACE (
+      CASE WHEN event_id % 101 = 7 THEN NULL WHEN {_HOT} THEN 'hot' ELSE user_id END AS user_id,
+      CASE WHEN {_HOT} THEN 1 ELSE exercise_id END AS exercise_id,
+      CASE WHEN event_id % 17 <> 3 THEN snapshot_sequence_num END AS snapshot_sequence_num,
+      CASE WHEN event_id % 20 = 1 THEN saves_before_snapshot ELSE 0 END AS saves_before_snapshot)
+    FROM {{source}}"""
+
+
+def awkward_snapshots(spark, sf, chars=True):
+    hot = F.expr(_HOT)
+    return snapshots(spark, sf, chars=chars).withColumns(
+        {
+            "user_id": F.when(F.col("event_id") % 101 != 7, F.when(hot, "hot").otherwise(F.col("user_id"))),
+            "exercise_id": F.when(hot, 1).otherwise(F.col("exercise_id")),
+            "snapshot_sequence_num": F.when(F.col("event_id") % 17 != 3, F.col("snapshot_sequence_num")),
+            "saves_before_snapshot": F.when(F.col("event_id") % 20 == 1, F.col("saves_before_snapshot")).otherwise(0),
+        }
+    )
+
+
+def _sliced_features_sql(selected: dict[str, str]) -> str:
+    listed = ", ".join(sr(text.replace("arg_max(seq", "arg_max_null(seq"), name) for name, text in selected.items())
+    return with_tables(
+        f"SELECT user_id, exercise_id, count(*) AS sequence_length, {listed} FROM numbered GROUP BY user_id, exercise_id",
+        "code",
+        extra={
+            "awkward": AWKWARD_SQL.format(source="code"),
+            "filled": FILLED.replace("FROM code", "FROM awkward WHERE user_id IS NOT NULL"),
+            "numbered": NUMBERED,
+        },
+    )
+
+
+for _name in ("session_features", "a5_median"):
+
+    @query(f"{_name}_sliced", _sliced_features_sql(FEATURE_QUERIES[_name]))
+    def sliced_feature_query(spark, sf, columns=tuple(FEATURE_QUERIES[_name])):
+        wide = agg.session_features(awkward_snapshots(spark, sf), hot_rows=SLICED)
+        return rounded(wide.select(*KEYS, "sequence_length", *columns))
+
+
+@query(
+    "d4_downsample_20_sliced",
+    with_tables(
+        "SELECT event_id, user_id, exercise_id, pos, n FROM kept",
+        "snaps",
+        extra={
+            "awkward": AWKWARD_SQL.format(source="snaps"),
+            "present": "SELECT * FROM awkward WHERE user_id IS NOT NULL",
+            "kept": KEPT.format(source="present", m=20),
+        },
+    ),
+)
+def d4_sliced(spark, sf):
+    kept = downsample(awkward_snapshots(spark, sf, chars=False), 20, hot_rows=SLICED)
+    return kept.select(*EVENT, F.col(POS).alias("pos"), F.col(SIZE).alias("n"))
+
+
+@query(
+    "w1_successive_difference_sliced",
+    with_tables(
+        f"""SELECT event_id, user_id, exercise_id, pos, {sr('seq', 'seq')},
+              {sr('seq - lag(seq) OVER w', 'step')}, saves - lag(saves) OVER w AS saved
+            FROM (SELECT event_id, user_id, exercise_id, snapshot_sequence_num AS raw, saves_before_snapshot AS saves,
+                coalesce(snapshot_sequence_num, avg(snapshot_sequence_num) OVER (PARTITION BY user_id, exercise_id)) AS seq,
+                row_number() OVER (PARTITION BY user_id, exercise_id ORDER BY snapshot_sequence_num, event_id) - 1 AS pos
+              FROM awkward WHERE user_id IS NOT NULL)
+            WINDOW w AS (PARTITION BY user_id, exercise_id ORDER BY pos)""",
+        "snaps",
+        extra={"awkward": AWKWARD_SQL.format(source="snaps")},
+    ),
+)
+def w1_sliced(spark, sf):
+    rows = awkward_snapshots(spark, sf, chars=False).withColumn("snapshot_sequence_num", F.col("snapshot_sequence_num").cast("double"))
+    names = {"snapshot_sequence_num": "step", "saves_before_snapshot": "saved"}
+    out = number_rows(rows, lags=list(names), fill=["snapshot_sequence_num"], hot_rows=SLICED)
+    differences = [(F.col(c) - F.col(previous(c))).alias(new) for c, new in names.items()]
+    return rounded(out.select(*EVENT, F.col(POS).alias("pos"), F.col("snapshot_sequence_num").alias("seq"), *differences))

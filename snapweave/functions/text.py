@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from snapweave.schema import MAX_CODE_CHARS, MAX_VALUE_CHARS
 
 MISSING = "NA"
-CUT_MARK = "\n... [TRUNCATED] ..."
+NOTHING_CHANGES = "none"
+CUT_MARK = "\n[the rest of this snapshot is left out]"
 
 
 def session_key(user: str = "user_id", exercise: str = "exercise_id", session: str | None = None) -> Column:
@@ -95,19 +96,9 @@ def label_options_text(rows: Sequence[tuple[int, str, str, str]], with_descripti
 def snapshot_block(
     number: Column, time_text: Column, feature_lines: Column, code: Column
 ) -> Column:
-    """One snapshot of the prompt: header, feature lines, fenced code, rule."""
-    lines = F.transform(feature_lines, lambda s: F.concat(F.lit("- "), s))
-    listed = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(
-        F.lit("- (no varying features detected)")
-    )
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("FEATURES OF CODE SNAPSHOT "), number, F.lit(" (t="), time_text, F.lit(" seconds):")),
-        listed,
-        F.lit(""),
-        F.concat(F.lit("CODE SNAPSHOT "), number, F.lit(":")),
-        F.lit("```python"),
-        code,
-        F.lit("```"),
-        F.lit("-" * 50),
-    )
+    """One snapshot of the prompt: title with its clock, changing values, the code in a fence."""
+    values = F.when(F.size(feature_lines) > 0, F.array_join(feature_lines, "; ")).otherwise(F.lit(NOTHING_CHANGES))
+    return F.concat(
+        F.lit("### Snapshot "), number, F.lit(", second "), time_text, F.lit("\nChanging values: "), values,
+        F.lit("\n~~~\n"), code, F.lit("\n~~~\n"),
+    )

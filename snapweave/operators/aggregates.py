@@ -10,13 +10,16 @@ from snapweave.operators.ordering import (
     HOT_ROWS,
     POS,
     SIZE,
+    cumulate_by_slices,
     fill_with_group_mean,
+    filled,
     group_mean,
     model_order,
-    number_by_slices,
     number_by_window,
+    number_huge,
     previous,
     split_hot,
+    with_keys_present,
 )
 from snapweave.schema import KEYS, SNAPSHOT_FEATURES
 
@@ -75,21 +78,31 @@ def _session_totals() -> list[Column]:
 
 
 def exact_group_percentiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], points: dict[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    points: dict[str, float],
+    slices: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation percentiles of groups too large to sit in one task.
 
-    The columns are unpivoted, the values numbered in slices, and only the two rows
-    around each wanted rank are kept.
+    Equal values are counted first, combined before the shuffle, so a value that most rows
+    share is one row. The distinct values are added up in slices, and only those around
+    each wanted rank are kept.
     """
     keys = list(keys)
     long = df.unpivot(keys, list(columns), "_feature", "_value").filter("_value IS NOT NULL")
-    ranked = number_by_slices(long, [*keys, "_feature"], [F.col("_value").asc()])
+    counts = long.groupBy(*keys, "_feature", "_value").agg(F.count(F.lit(1)).alias("_rows"))
+    ranked = cumulate_by_slices(counts, [*keys, "_feature"], "_value", "_rows", slices)
 
     def at(p: float) -> Column:
-        rank = F.lit(p) * (F.col(SIZE) - 1)
+        rank = F.lit(p) * (F.col("_total") - 1)
         low = F.floor(rank)
-        share = F.when(F.col(POS) == low, 1 - (rank - low)).when(F.col(POS) == low + 1, rank - low)
+
+        def holds(n: Column) -> Column:
+            return (n >= F.col("_before")) & (n < F.col("_before") + F.col("_rows"))
+
+        share = F.when(holds(low), 1 - (rank - low)).otherwise(0.0) + F.when(holds(low + 1), rank - low).otherwise(0.0)
         return F.sum(share * F.col("_value"))
 
     per_feature = ranked.groupBy(*keys, "_feature").agg(*[at(p).alias(name) for name, p in points.items()])
@@ -113,7 +126,7 @@ def session_features(
     """One wide row per session: 11 statistics per feature, durations and copies.
 
     A value missing inside a session is replaced by the session mean before every
-    statistic; durations use the raw clock. ``carry`` columns are constant per session
+    statistic, never in the order; durations use the raw clock. Rows without a key are left out. ``carry`` columns are constant per session
     (the label, say) and are taken from the session's first row.
     """
     keys = list(keys)
@@ -128,7 +141,7 @@ def session_features(
             _SEQ: F.col(seq).cast("double") if seq else F.lit(None).cast("double"),
         }
     )
-    usual, huge = split_hot(work, keys, hot_rows)
+    usual, huge, hot = split_hot(with_keys_present(work, keys), keys, hot_rows)
     lags = [*features, _CLOCK]
     carried = [F.min_by(c, POS).alias(c) for c in carry]
     merged = [a for f in features for a in _plain_statistics(f)] + _session_totals() + carried
@@ -140,9 +153,10 @@ def session_features(
     ).drop(*[f"_{f}_sorted" for f in features])
 
     if huge is not None:
-        filled = fill_with_group_mean(huge, keys, features)
-        big = number_by_slices(filled, keys, order, lags=lags).groupBy(*keys).agg(*merged)
-        ranks = exact_group_percentiles(filled.select(*keys, *features), keys, features, QUARTILES)
+        big = number_huge(huge, keys, order, hot.slices, lags, features).groupBy(*keys).agg(*merged)
+        ready = fill_with_group_mean(huge, keys, features)
+        values = ready.select(*keys, *[F.col(filled(f)).alias(f) for f in features])
+        ranks = exact_group_percentiles(values, keys, features, QUARTILES, hot.slices * len(features))
         wide = wide.unionByName(big.join(ranks, keys, "left"))
 
     def copy_of(column: str) -> Column:

@@ -9,13 +9,15 @@ share of the table, so rows are numbered in two ways:
   into slices of bounded size; slices are numbered on their own and shifted by the
   row counts of the slices before them.
 
-Both give the same numbers. Which sessions are large is found by one count per
-session, combined before the shuffle.
+Both order by the columns as they are and fill missing values afterwards, so both give
+the same numbers. Which sessions are large is found by one count per session, combined
+before the shuffle. Rows without a key belong to no session and are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,6 +25,9 @@ from snapweave.runtime import materialize
 from snapweave.schema import KEYS
 
 HOT_ROWS = 250_000
+# Rows of one slice of a huge session, and session keys that a broadcast may carry.
+SLICE_ROWS = 250_000
+BROADCAST_KEYS = 100_000
 
 POS, SIZE = "_pos", "_n"
 
@@ -52,32 +57,47 @@ def group_mean(name: str) -> str:
     return f"{name}__mean"
 
 
-def hot_sessions(
-    df: DataFrame, keys: Sequence[str] = KEYS, hot_rows: int | None = HOT_ROWS
-) -> DataFrame | None:
-    """Keys of the sessions above ``hot_rows`` rows, or None; reads only the key columns.
+def with_keys_present(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that belong to a session: no part of the key is missing."""
+    return df.dropna("any", subset=list(keys)) if keys else df
+
+
+@dataclass(frozen=True)
+class Huge:
+    """Sessions above ``hot_rows``: their keys (to be broadcast only if few) and the number of their rows."""
+
+    keys: DataFrame
+    rows: int
 
-    At most (table rows / hot_rows) keys can qualify, which bounds the broadcasts below.
-    ``hot_rows=None`` skips the look, for input whose sessions are known to be small.
+    @property
+    def slices(self) -> int:
+        return max(2, -(-self.rows // SLICE_ROWS))
+
+
+def hot_sessions(df: DataFrame, keys: Sequence[str] = KEYS, hot_rows: int | None = HOT_ROWS) -> Huge | None:
+    """The sessions above ``hot_rows`` rows, or None. Needs the key columns only; where ``df`` is a join, the
+    join runs for it too. ``hot_rows=None`` skips the look, for input whose sessions are known to be small.
     """
     if hot_rows is None:
         return None
     sizes = df.groupBy(*keys).count()
-    largest = sizes.agg(F.max("count")).first()[0]
-    if largest is None or largest <= hot_rows:
+    large = materialize(sizes.filter(F.col("count") > hot_rows), "hot-sessions")
+    found = large.agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("rows")).first()
+    if not found["n"]:
         return None
-    return materialize(sizes.filter(F.col("count") > hot_rows).select(*keys), "hot-sessions")
+    named = large.select(*keys)
+    return Huge(F.broadcast(named) if found["n"] <= BROADCAST_KEYS else named, found["rows"])
 
 
 def split_hot(
     df: DataFrame, keys: Sequence[str] = KEYS, hot_rows: int | None = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary sessions, rows of huge sessions or None)."""
+) -> tuple[DataFrame, DataFrame | None, Huge | None]:
+    """(rows of ordinary sessions, rows of huge sessions or None, which those are)."""
     hot = hot_sessions(df, keys, hot_rows)
     if hot is None:
-        return df, None
+        return df, None, None
     keys = list(keys)
-    return df.join(F.broadcast(hot), keys, "left_anti"), df.join(F.broadcast(hot), keys, "left_semi")
+    return df.join(hot.keys, keys, "left_anti"), df.join(hot.keys, keys, "left_semi"), hot
 
 
 def number_by_window(
@@ -98,10 +118,10 @@ def number_by_window(
         {group_mean(c): F.avg(c).over(whole) for c in fill}
         | {POS: F.row_number().over(ordered).cast("long") - 1, SIZE: F.count(F.lit(1)).over(whole)}
     )
-    filled = {c: f"{c}__filled" for c in fill}
-    out = out.withColumns({new: F.coalesce(F.col(c), F.col(group_mean(c))) for c, new in filled.items()})
-    out = out.withColumns({previous(c): F.lag(filled.get(c, c)).over(ordered) for c in lags})
-    return out.drop(*filled).withColumnsRenamed({new: c for c, new in filled.items()})
+    names = {c: filled(c) for c in fill}
+    out = out.withColumns({new: F.coalesce(F.col(c), F.col(group_mean(c))) for c, new in names.items()})
+    out = out.withColumns({previous(c): F.lag(names.get(c, c)).over(ordered) for c in lags})
+    return out.drop(*names).withColumnsRenamed({new: c for c, new in names.items()})
 
 
 def number_by_slices(
@@ -113,13 +133,14 @@ def number_by_slices(
 ) -> DataFrame:
     """Same columns as :func:`number_by_window`, with no task that holds a whole group.
 
-    ``keys`` may be empty: then the whole table is numbered in one global order. The
+    ``keys`` may be empty: then the whole table is numbered in one global order. Without a
+    number of ``slices`` the rows are counted, so that a slice stays of bounded size. The
     sliced rows are written once, because range bounds come from a sample and a second
     run of the same plan could cut elsewhere.
     """
     keys = list(keys)
     spark = df.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
     cut = (
         df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
         .withColumn("_slice", F.spark_partition_id())
@@ -154,13 +175,36 @@ def number_by_slices(
     return out.drop("_slice", "_local", "_before", "_tail")
 
 
+def filled(name: str) -> str:
+    return f"{name}__filled"
+
+
 def fill_with_group_mean(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Group means by aggregate and join, for groups too large for a window."""
+    """``<c>__mean`` and ``<c>__filled`` by aggregate and join, for groups too large for a window.
+
+    The columns themselves stay as they are, for an order may rest on them.
+    """
     if not columns:
         return df
     means = df.groupBy(*keys).agg(*[F.avg(c).alias(group_mean(c)) for c in columns])
-    out = df.join(F.broadcast(means), list(keys))
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(group_mean(c))) for c in columns})
+    out = df.join(means, list(keys))
+    return out.withColumns({filled(c): F.coalesce(F.col(c), F.col(group_mean(c))) for c in columns})
+
+
+def number_huge(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    slices: int,
+    lags: Sequence[str] = (),
+    fill: Sequence[str] = (),
+) -> DataFrame:
+    """:func:`number_by_window` for huge sessions: numbered in the order of the raw columns, filled before the lag."""
+    ready = fill_with_group_mean(df, keys, fill)
+    of = {c: filled(c) if c in fill else c for c in lags}
+    out = number_by_slices(ready, keys, order, list(of.values()), slices)
+    renamed = {previous(old): previous(c) for c, old in of.items()} | {filled(c): c for c in fill}
+    return out.drop(*fill).withColumnsRenamed(renamed)
 
 
 def number_rows(
@@ -172,14 +216,38 @@ def number_rows(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add ``_pos`` (0-based) and ``_n``; per lag column ``<c>__prev``; per fill column ``<c>__mean`` and
-    the session mean where the value is missing (applied before the lag)."""
+    the session mean where the value is missing (applied before the lag, never to the order).
+    Rows without a key are left out."""
     order = list(order or model_order(df))
-    usual, huge = split_hot(df, keys, hot_rows)
+    usual, huge, hot = split_hot(with_keys_present(df, keys), keys, hot_rows)
     out = number_by_window(usual, keys, order, lags, fill)
     if huge is None:
         return out
-    sliced = number_by_slices(fill_with_group_mean(huge, keys, fill), keys, order, lags)
-    return out.unionByName(sliced)
+    return out.unionByName(number_huge(huge, keys, order, hot.slices, lags, fill))
+
+
+def cumulate_by_slices(df: DataFrame, keys: Sequence[str], order: str, weight: str, slices: int | None = None) -> DataFrame:
+    """Add ``_before`` (weights of the group's rows before this one) and ``_total``, with no task that holds a group.
+
+    ``order`` must not repeat within a group, so that a slice border can fall between any two rows.
+    """
+    keys = list(keys)
+    spark = df.sparkSession
+    slices = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
+    cut = df.repartitionByRange(slices, *keys, order).withColumn("_slice", F.spark_partition_id())
+    cut = materialize(cut, "slices")
+    within = Window.partitionBy(*keys, "_slice").orderBy(order)
+    running = cut.withColumn("_local", F.sum(weight).over(within) - F.col(weight))
+    heads = cut.groupBy(*keys, "_slice").agg(F.sum(weight).alias("_sum"))
+    by_slice = Window.partitionBy(*keys).orderBy("_slice")
+    offsets = heads.select(
+        *keys,
+        "_slice",
+        (F.sum("_sum").over(by_slice) - F.col("_sum")).alias("_ahead"),
+        F.sum("_sum").over(Window.partitionBy(*keys)).alias("_total"),
+    )
+    out = running.join(offsets, [*keys, "_slice"])
+    return out.withColumn("_before", F.col("_local") + F.col("_ahead")).drop("_slice", "_local", "_ahead")
 
 
 def global_positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:

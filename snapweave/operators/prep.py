@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from snapweave.operators.aggregates import column_profile
-from snapweave.operators.ordering import HOT_ROWS, POS, model_order, number_rows
+from snapweave.operators.ordering import HOT_ROWS, POS, cumulate_by_slices, model_order, number_rows
 from snapweave.schema import KEYS
 
 UNKNOWN = "UNK"
@@ -36,8 +36,9 @@ def column_percentiles(
 
     No column is sorted. Mergeable sketches bracket every wanted rank; then the distinct
     values inside the brackets, a few ``1/accuracy`` of the rows, are tallied together
-    with one total for each gap between brackets, and the walk to the wanted ranks is one
-    small window per column. Columns with fewer than ``accuracy`` values are tallied whole.
+    with one total for each gap between brackets, and added up in slices, so no task holds
+    a column. Columns with fewer than ``accuracy`` values are tallied whole. A rank that its
+    bracket misses is an error, not a missing value.
     """
     columns, points = list(columns), list(points)
     margin = 4.0 / accuracy
@@ -80,13 +81,14 @@ def column_percentiles(
         )
         .agg(F.count(F.lit(1)).alias("rows"), F.max("value").alias("top"))
     )
-    upto = F.sum("rows").over(Window.partitionBy("feature").orderBy("top"))
+    placed = cumulate_by_slices(tally, ["feature"], "top", "rows")
+    missed = F.raise_error(F.lit("a percentile lies outside the bracket of its sketch: ask for more accuracy"))
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in points])).alias("point")
     return (
-        tally.withColumn("upto", upto)
-        .select("*", wanted)
+        placed.select("*", wanted)
         .withColumn("rank", F.col("point") * (F.col("n") - 1))
-        .filter("upto > floor(rank) AND upto - rows <= ceil(rank)")
+        .filter("_before + rows > floor(rank) AND _before <= ceil(rank)")
+        .withColumn("exact", F.coalesce("exact", missed.cast("double")))
         .groupBy("feature", "point", "rank")
         .agg(F.min("exact").alias("low"), F.max("exact").alias("high"))
         .select(

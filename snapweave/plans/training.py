@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from snapweave.functions.vectors import clean_embedding
 from snapweave.operators.evaluation import accuracy, class_scores, macro_scores, pair_counts
 from snapweave.operators.prep import choose_by_information, fit_median_fill
-from snapweave.schema import KEYS
+from snapweave.schema import KEYS, SEARCHED_COLUMN_COUNTS
 
 MAX_TREE_DEPTH = 30  # Spark's limit; stands for "no limit"
 
@@ -314,8 +314,9 @@ def drawn_param_maps(space: Mapping[Param, Sequence], n: int, seed: int = 42) ->
 
 
 def column_choices(available: int) -> list[int]:
-    """Column counts to try: the usual sizes that fit, and all."""
-    return sorted({k for k in (20, 40, 60, 80, 120, available) if 2 <= k <= available}) or [available]
+    """Numbers of columns a search tries: every listed one below what there is, then all columns."""
+    smaller = [count for count in SEARCHED_COLUMN_COUNTS if count < available]
+    return [*smaller, available]
 
 
 def model_pipeline(estimator: Estimator, columns: Sequence[str], k: int | None = None) -> Pipeline:

@@ -131,3 +131,6 @@ def label_table(spark: SparkSession, rows=None) -> DataFrame:
         for ord_, name, human, text in (rows or label_rows())
     ]
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+# Numbers of columns that the model searches choose from.
+SEARCHED_COLUMN_COUNTS = (20, 40, 60, 80, 120)

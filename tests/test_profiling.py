@@ -102,8 +102,8 @@ def test_prompts(snapshots):
     assert blocks["u1"]["snapshots_kept"] == 20 and blocks["u1"]["snapshots_seen"] == 30
     assert blocks["u1"]["session_cols"] == ["flat"] and blocks["u1"]["snapshot_cols"] == ["seconds_from_start"]
     text = blocks["u1"]["snapshots_text"]
-    assert text.startswith("FEATURES OF CODE SNAPSHOT 1 (t=0 seconds):\n- seconds_from_start: 0\n\nCODE SNAPSHOT 1:\n```python\ncode 0\n```")
-    assert "code 29" in text and "(no varying features detected)" in blocks["u2"]["snapshots_text"]
+    assert text.startswith("### Snapshot 1, second 0\nChanging values: seconds_from_start: 0\n~~~\ncode 0\n~~~\n")
+    assert "code 29" in text and "Changing values: none" in blocks["u2"]["snapshots_text"]
     prompts = {r["user_id"]: r for r in build_prompts(snapshots, "any").collect()}
     assert prompts["u1"]["session_key"] == "u1|1" and "Rationale: note\n" in prompts["u1"]["prompt"]
     assert "Rationale: NA\n" in prompts["u2"]["prompt"]
