@@ -35,8 +35,10 @@ EVENT = ["event_id", *KEYS]
 def io1(spark, sf):
     source = snapshots(spark, sf, code=True).select(*EVENT, "code_snapshot", "seconds_from_start")
     path = scratch_path(spark, "csv")
-    files.write_csv(source, path)
-    back = files.read_csv(spark, path, source.schema)
+    # Columns in another order and the row numbers that a spreadsheet program puts first.
+    turned = source.select(F.col("event_id").alias("Unnamed: 0"), *reversed(source.columns))
+    files.write_csv(turned, path)
+    back = files.read_snapshots(spark, path, source.schema)
     return back.select(
         *EVENT,
         F.md5("code_snapshot").alias("code_md5"),
@@ -57,7 +59,9 @@ def io2(spark, sf):
 )
 def io4(spark, sf):
     df = session_table(spark, sf).filter("row_no = 1").select(*KEYS, "level")
-    return tab.drop_index_columns(df.withColumns({"Unnamed: 0": F.lit(1), "index": F.lit(2)}))
+    path = scratch_path(spark, "indexed")
+    files.write_csv(df.select(F.lit(1).alias("Unnamed: 0"), "level", F.lit(2).alias("index"), *KEYS), path)
+    return files.read_session_table(spark, path)
 
 
 @query(
@@ -92,7 +96,6 @@ def io6(spark, sf):
 def io7(spark, sf):
     root = scratch_path(spark, "predictions")
     rows = predictions(spark, sf)
-    schema = files.PREDICTION_SCHEMA
     empty = [F.lit(None).cast("string").alias(c) for c in ("session_key",)]
     for m in ("m1", "m2", "m3"):
         part = rows.filter(F.col("model") == m).select(
@@ -100,11 +103,8 @@ def io7(spark, sf):
             F.lit("from the file name").alias("model"), "label",
             *[F.lit("").alias(c) for c in ("rationale", "key_evidence", "prompt_hash")],
         )
-        files.write_csv(part, f"{root}/llm_profile_predictions_{m}.csv")
-    found = files.read_csv(spark, f"{root}/llm_profile_predictions*.csv", schema)
-    # Spark writes a folder per file name, so the name is the last but one part here.
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return found.withColumn("model", files.model_of_file(folder)).select(*KEYS, "model", "label")
+        files.write_csv(part.select(*reversed(part.columns)), f"{root}/llm_profile_predictions_{m}.csv")
+    return files.read_predictions(spark, f"{root}/llm_profile_predictions*.csv").select(*KEYS, "model", "label")
 
 
 @query(
