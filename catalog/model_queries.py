@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from catalog.inputs import labels, predictions, session_table, snapshots, with_tables
 from catalog.registry import query, r, rounded, sr
@@ -321,22 +321,55 @@ def with_pca(spark, sf, components=16):
     return training.apply_embedding_pca(rows, "code_embedding", dim, model)
 
 
-@query("f14_embedding_pca")
+@query(
+    "f14_embedding_pca",
+    "SELECT range AS component, TRUE AS centred, TRUE AS uncorrelated, TRUE AS falling FROM range(1, 17)",
+)
 def f14(spark, sf):
-    rows = with_pca(spark, sf)
-    return rounded(rows.select(*EVENT, *[F.col("code_embedding_pca")[i].alias(f"pc{i + 1}") for i in range(16)]))
+    """What principal components of the training rows must hold: mean 0, no covariance, falling spread."""
+    names = [f"pc{i + 1}" for i in range(16)]
+    rows = train_of(with_pca(spark, sf)).select(*[F.col("code_embedding_pca")[i].alias(c) for i, c in enumerate(names)])
+    found = rows.agg(
+        *[F.avg(c).alias(f"mean_{c}") for c in names],
+        *[F.var_pop(c).alias(f"var_{c}") for c in names],
+        *[F.max(F.abs(F.col(c))).alias(f"top_{c}") for c in names],
+        *[F.covar_pop(a, b).alias(f"cov_{a}_{b}") for i, a in enumerate(names) for b in names[:i]],
+    )
+    entries = []
+    for i, c in enumerate(names):
+        apart = [F.abs(F.col(f"cov_{c}_{b}")) < 1e-6 for b in names[:i]] or [F.lit(True)]
+        entries.append(
+            F.struct(
+                F.lit(i + 1).cast("long").alias("component"),
+                (F.abs(F.col(f"mean_{c}")) < 1e-6).alias("centred"),
+                F.forall(F.array(*apart), lambda x: x).alias("uncorrelated"),
+                (F.col(f"var_{c}") <= (F.col(f"var_{names[i - 1]}") + 1e-9 if i else F.lit(1e300))).alias("falling"),
+            )
+        )
+    return found.select(F.inline(F.array(*entries)))
 
 
-@query("f15_assembled_vectors")
+@query(
+    "f15_assembled_vectors",
+    with_tables(
+        f"""SELECT event_id, user_id, exercise_id, {{n}} + 4 + (SELECT count(DISTINCT exercise_type) FROM snaps WHERE NOT ({IN_TEST})) AS width,
+              TRUE AS train_mean_is_zero FROM snaps""".replace("{n}", str(len(SCALED))),
+        "snaps",
+    ),
+)
 def f15(spark, sf):
+    """Numbers, PCA and one-hot parts in one vector that is scaled as a whole on the training rows."""
     rows = with_pca(spark, sf, 4)
-    rows = prep.fit_scaler(train_of(rows), SCALED).apply(rows)
     rows = training.one_hot(train_of(rows), ["exercise_type"]).transform(rows)
     parts = [f"pc{i}" for i in range(4)]
     rows = rows.withColumns({p: F.col("code_embedding_pca")[i] for i, p in enumerate(parts)})
     vectors = training.assemble(rows, [*SCALED, *parts, "exercise_type_onehot"])
-    values = vector_to_array("features")
-    return rounded(vectors.select(*EVENT, F.size(values).alias("width"), F.aggregate(values, F.lit(0.0), lambda a, v: a + v).alias("total")))
+    scaled = training.scale_vectors(train_of(vectors), "features").transform(vectors)
+    values = scaled.withColumn("v", vector_to_array("features_scaled"))
+    mean = train_of(values).select(F.posexplode("v")).groupBy("pos").agg(F.avg("col").alias("m")).agg(F.max(F.abs(F.col("m"))).alias("worst"))
+    return values.crossJoin(F.broadcast(mean)).select(
+        *EVENT, F.size("v").cast("long").alias("width"), (F.col("worst") < 1e-6).alias("train_mean_is_zero")
+    )
 
 
 SEQUENCE = ["seconds_from_start", "executes_before_snapshot"]
@@ -543,26 +576,47 @@ def model_frame(spark, sf):
     return frame, indexer.labels, choice.kept
 
 
+TEST_SESSIONS = (
+    "SELECT DISTINCT s.user_id, s.exercise_id, label, TRUE AS known_label{more} FROM snaps s "
+    f"JOIN true_labels USING (user_id, exercise_id) WHERE label IS NOT NULL AND {IN_TEST.replace('user_id', 's.user_id')}"
+)
+
+
+def test_sessions_sql(**columns: str) -> str:
+    """One row per test session and, for what a model must hold whatever it learned, the value it must have."""
+    more = "".join(f", {value} AS {name}" for name, value in columns.items())
+    return with_tables(TEST_SESSIONS.format(more=more), "snaps", "true_labels")
+
+
+def checked(scored, names):
+    """Every test session with whether its predicted label is one of the known ones and its probabilities sum to 1."""
+    shown = [F.col(c) for c in scored.columns if c.startswith("proba_")]
+    total = sum(shown[1:], shown[0]) if shown else F.lit(1.0)
+    fair = F.abs(total - 1) < 1e-6
+    return scored.select(*KEYS, "label", F.col("pred_label").isin(names).alias("known_label"), fair.alias("sums_to_one"))
+
+
 def _outcome(build):
     def run(spark, sf):
         frame, names, _ = model_frame(spark, sf)
         train, test = train_of(frame), frame.filter("split = 'test'")
-        scored = training.predictions(build(train, names).fit(train), test, names)
-        shown = [c for c in scored.columns if c.startswith("proba_")]
-        return rounded(scored.select(*KEYS, "label", "pred_label", *shown))
+        return checked(training.predictions(build(train, names).fit(train), test, names), names)
 
     return run
 
 
-query("m1_random_forest")(_outcome(lambda train, names: training.random_forest(100)))
-query("m2_weighted_random_forest")(_outcome(lambda train, names: training.random_forest(100, weight="weight", maxDepth=12)))
-query("m3_extra_trees")(_outcome(lambda train, names: training.extra_trees(100, weight="weight", maxDepth=12)))
-query("m4_boosted_trees")(_outcome(lambda train, names: training.boosted_trees(5, weight="weight", parallelism=4)))
-query("m5_linear_svm")(_outcome(lambda train, names: training.linear_svm(parallelism=4, maxIter=20)))
-query("m7_m11_logistic_regression")(_outcome(lambda train, names: training.logistic_regression(train.count())))
+OUTCOME_SQL = test_sessions_sql(sums_to_one="TRUE")
+
 
+query("m1_random_forest", OUTCOME_SQL)(_outcome(lambda train, names: training.random_forest(100)))
+query("m2_weighted_random_forest", OUTCOME_SQL)(_outcome(lambda train, names: training.random_forest(100, weight="weight", maxDepth=12)))
+query("m3_extra_trees", OUTCOME_SQL)(_outcome(lambda train, names: training.extra_trees(100, weight="weight", maxDepth=12)))
+query("m4_boosted_trees", OUTCOME_SQL)(_outcome(lambda train, names: training.boosted_trees(5, weight="weight", parallelism=4)))
+query("m5_linear_svm", OUTCOME_SQL)(_outcome(lambda train, names: training.linear_svm(parallelism=4, maxIter=20)))
+query("m7_m11_logistic_regression", OUTCOME_SQL)(_outcome(lambda train, names: training.logistic_regression(train.count())))
 
-@query("m8_sequence_classifier")
+
+@query("m8_sequence_classifier", test_sessions_sql())
 def m8(spark, sf):
     rows = tab.drop_unlabelled(tab.attach(snapshots(spark, sf, chars=False), labels(spark, sf)))
     rows = splits.split_by_user(rows)
@@ -577,10 +631,10 @@ def m8(spark, sf):
     weighted = training.balanced_resample(agg.with_class_weight(indexer.transform(train)))
     model = training.sequence_perceptron(maxlen * len(MODEL_FEATURES), len(indexer.labels)).fit(weighted)
     scored = training.predictions(model, frame.filter("split = 'test'"), indexer.labels)
-    return scored.select(*KEYS, "label", "pred_label")
+    return checked(scored, indexer.labels).drop("sums_to_one")
 
 
-@query("m9_m10_grouped_search")
+@query("m9_m10_grouped_search", test_sessions_sql(best_of_tried="TRUE"))
 def m9(spark, sf):
     frame, names, columns = model_frame(spark, sf)
     train = train_of(frame).drop("features")
@@ -589,17 +643,36 @@ def m9(spark, sf):
     space = {step.k: [20, len(columns)], forest.maxDepth: [4, 8]}
     search = training.grouped_search(train, pipeline, space, n=2, parallelism=4)
     best = training.predictions(search.bestModel, frame.filter("split = 'test'").drop("features"), names)
-    return best.select(*KEYS, "label", "pred_label", r(F.lit(float(max(search.avgMetrics)))).alias("cv_macro_f1"))
+    scores = [float(m) for m in search.avgMetrics]
+    refitted = search.bestModel.stages[-1].getNumTrees == 10 and 0 <= min(scores) <= max(scores) <= 1
+    return checked(best, names).drop("sums_to_one").withColumn("best_of_tried", F.lit(refitted))
 
 
-@query("m13_d8_importances")
+@query("m13_d8_importances", "SELECT range AS place, TRUE AS known, TRUE AS falling, TRUE AS sums_to_one FROM range(1, 11)")
 def m13(spark, sf):
     frame, _, columns = model_frame(spark, sf)
     model = training.random_forest(100, maxDepth=12).fit(train_of(frame))
-    return rounded(training.importances(spark, model, columns, 10))
+    every = training.importances(spark, model, columns, len(columns))
+    ranked = every.withColumns(
+        {
+            "place": F.row_number().over(Window.orderBy(F.desc("importance"), "feature")).cast("long"),
+            "total": F.sum("importance").over(Window.partitionBy()),
+        }
+    )
+    top = training.importances(spark, model, columns, 10).select("feature", F.col("importance").alias("shown"))
+    least = ranked.filter("place = 10").select(F.col("importance").alias("tenth"))
+    return ranked.join(top, "feature").crossJoin(F.broadcast(least)).select(
+        "place",
+        F.col("feature").isin(columns).alias("known"),
+        ((F.col("shown") == F.col("importance")) & (F.col("shown") >= F.col("tenth"))).alias("falling"),
+        (F.abs(F.col("total") - 1) < 1e-6).alias("sums_to_one"),
+    )
 
 
-@query("m14_e11_compare_models")
+@query(
+    "m14_e11_compare_models",
+    "SELECT * FROM (VALUES ('forest', 'fitted', TRUE), ('logistic', 'fitted', TRUE), ('broken', 'failed', NULL)) t(model, status, scores_in_range)",
+)
 def m14(spark, sf):
     frame, names, _ = model_frame(spark, sf)
     train, test = train_of(frame), frame.filter("split = 'test'")
@@ -612,18 +685,25 @@ def m14(spark, sf):
     scores = training.compare_models(training.all_predictions(outcomes, test, names))
     status = training.status_table(spark, outcomes)
     status = status.withColumn("status", F.when(F.col("status").startswith("failed"), "failed").otherwise("fitted"))
-    return rounded(status.join(scores, "model", "left"))
+    numbers = [f.name for f in scores.schema.fields if f.dataType.typeName() == "double"]
+    fair = F.least(*numbers) >= 0, F.greatest(*numbers) <= 1
+    return status.join(scores, "model", "left").select("model", "status", (fair[0] & fair[1]).alias("scores_in_range"))
 
 
-@query("io10_model_sink")
+@query("io10_model_sink", test_sessions_sql(same_after_loading="TRUE"))
 def io10(spark, sf):
     frame, names, columns = model_frame(spark, sf)
     pipeline = training.model_pipeline(training.random_forest(10, maxDepth=5), columns, k=20)
     path = scratch_path(spark, "model")
-    training.save_model(pipeline.fit(train_of(frame).drop("features")), path)
-    loaded = training.PipelineModel.load(path)
-    scored = training.predictions(loaded, frame.filter("split = 'test'").drop("features"), names)
-    return scored.select(*KEYS, "label", "pred_label")
+    fitted = pipeline.fit(train_of(frame).drop("features"))
+    training.save_model(fitted, path)
+    test = frame.filter("split = 'test'").drop("features")
+    before = training.predictions(fitted, test, names).select(*KEYS, F.col("pred_label").alias("was"))
+    after = checked(training.predictions(training.PipelineModel.load(path), test, names).join(before, KEYS), names)
+    same = training.predictions(training.PipelineModel.load(path), test, names).join(before, KEYS)
+    return after.drop("sums_to_one").join(
+        same.select(*KEYS, (F.col("pred_label") == F.col("was")).alias("same_after_loading")), KEYS
+    )
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------

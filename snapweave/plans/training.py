@@ -22,6 +22,7 @@ from pyspark.ml.feature import (
     IndexToString,
     OneHotEncoder,
     StandardScaler,
+    StandardScalerModel,
     StringIndexer,
     VarianceThresholdSelector,
     VectorAssembler,
@@ -319,6 +320,11 @@ def column_choices(available: int) -> list[int]:
     return [*smaller, available]
 
 
+def scale_vectors(train: DataFrame, column: str) -> StandardScalerModel:
+    """Mean 0 and spread 1 over the training rows for every element of an assembled vector: ``<column>_scaled``."""
+    return StandardScaler(inputCol=column, outputCol=f"{column}_scaled", withMean=True, withStd=True).fit(train)
+
+
 def model_pipeline(estimator: Estimator, columns: Sequence[str], k: int | None = None) -> Pipeline:
     """Median fill and choice by information, constant columns out, model; all fitted per fold."""
     step = ColumnStep(columns=list(columns), k=min(80, len(columns)) if k is None else k)
