@@ -6,7 +6,7 @@ difference is at most a seventh of their sizes' sum.
 1. A set's elements fall into parts by hash; the parity (XOR) of a part's elements is one key.
    Few differences leave parts equal, so linked sets share keys (pigeonhole per size band,
    ``shingles.signature``). Equal sets have one node, a hash of the set.
-2. Keys are brought together; a key's least node is its leader. Pairs (leader, member) are tested
+2. Keys are brought together. Pairs of a member and one leading member of its keys are tested
    first by size and by the Hamming distance of bit sketches, then by
    exact intersection. Links give components.
 3. A key whose members are in one component is settled: a large group of copies costs one
@@ -34,6 +34,7 @@ from snapweave.llm.shingles import mix, parity_sketches, reduce_by, shingle_sets
 from snapweave.runtime import materialize
 
 FEW = 16
+STAR_ROUNDS = 3
 # Rows of (node, row) that may be sent to every task; beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 CHUNK_BYTES = 1_000_000
@@ -245,24 +246,63 @@ def _unsettled(groups: DataFrame) -> DataFrame:
 
 
 def _pairs_between(groups: DataFrame) -> DataFrame:
-    """Pairs of a key's members in different components, but those with the leader, which have been tested."""
-    left = groups.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), "leader")
-    right = groups.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    met = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-    return met.where((F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader"))).select("a", "b").distinct()
+    """Pairs of a key's (few) members in different components. Documents that share a passage share many keys with
+    the same members: equal lists are taken once."""
+    lists = groups.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "component"))).alias("all")).select("all").distinct()
+    each = lists.select("all", F.explode("all").alias("x"))
+    later = F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (y["component"] != F.col("x.component")))
+    listed = each.select(F.col("x.node").alias("a"), F.explode(later).alias("y")).select("a", F.col("y.node").alias("b"))
+    return listed.distinct()
 
 
 def _star(groups: DataFrame) -> DataFrame:
-    return groups.where(F.col("leader") != F.col("node")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    """``a, b``: for each node the leader of its keys of few rows, and the most central member of those of many.
+
+    The text that others are copies of has the most company in its keys, copies have keys of their own. One
+    such member links a large group with one pair for each of the others.
+    """
+    few = groups.where((F.col("size") <= FEW) & (F.col("leader") != F.col("node")))
+    many = groups.where(F.col("size") > FEW).select("key", "node", "size")
+    company = many.groupBy("node").agg(F.sum("size").alias("company"))
+    known = many.select("key", "node").join(company, "node")
+    central = known.groupBy("key").agg(F.max(F.struct("company", "node")).alias("top"))
+    met = known.join(central, "key").where(F.col("top.node") != F.col("node")).groupBy("node").agg(F.max("top").alias("top"))
+    pairs = few.groupBy("node").agg(F.min("leader").alias("other")).unionByName(met.select("node", F.col("top.node").alias("other")))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 def _rarest_first(elements: DataFrame) -> DataFrame:
-    """``key, leader, node, size`` over single elements: of each set the n - ceil(3n/4) + 1 rarest, one of which linked sets share."""
+    """``key, node, n, nth, low, size`` over single elements, each set's rarest first.
+
+    Of linked sets the larger one has the first element that both hold among its n - ceil(3n/4) + 1 rarest, and the
+    smaller one (``low``) among its n // 7 + 1 rarest, as at least 6/7 of it must still follow. Elements
+    that are low for no set link nothing: a passage that most of a set consists of comes late in it.
+    """
     each = elements.select("node", F.size("elements").alias("n"), F.explode("elements").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("often"))
     order = F.row_number().over(Window.partitionBy("node").orderBy("often", "key"))
     kept = each.join(often, "key").withColumn("nth", order).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * 0.75) + 1)
-    return gather(kept.select("key", "node"))
+    kept = kept.where(F.col("often") > 1).withColumn("low", F.col("nth") <= F.floor(F.col("n") / 7) + 1).drop("often")
+    wanted = kept.groupBy("key").agg(F.count("*").alias("size"), F.max("low").alias("any")).where(F.col("any") & (F.col("size") > 1))
+    return kept.join(wanted.drop("any"), "key")
+
+
+def _pairs_in_reach(groups: DataFrame) -> DataFrame:
+    """Pairs between components whose first common element may be this one: what follows it suffices for a link."""
+
+    def side(x: str) -> list[Column]:
+        return ["key", *[F.col(c).alias(c + x) for c in ("node", "n", "nth", "low", "component")]]
+
+    smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
+    follow = 1 + F.least(F.col("n1") - F.col("nth1"), F.col("n2") - F.col("nth2"))
+    met = groups.where("low").select(*side("1")).join(groups.select(*side("2")), "key").where(
+        (F.col("node1") != F.col("node2"))
+        & (F.col("component1") != F.col("component2"))
+        & (smaller | ~F.col("low2"))
+        & (4 * F.least("n1", "n2") >= 3 * F.greatest("n1", "n2"))
+        & (7 * follow >= 3 * (F.col("n1") + F.col("n2")))
+    )
+    return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def near_duplicate_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,7 +310,8 @@ def near_duplicate_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     described = materialize(document_sets(docs), "described")
     join = SetJoin(docs, described)
     groups = materialize(gather(signatures(docs)), "groups")
-    links, members = _link_stars(join, groups, None)
+    links = join.linked(join.near(_star(groups)))
+    members = connected_components(links)
     rest = materialize(_unsettled(_with_component(groups, members)), "unsettled")
     pairs = _pairs_between(rest.where(F.col("size") <= FEW))
     many = rest.where(F.col("size") > FEW).groupBy("node").agg(F.count("*").alias("keys"))
@@ -280,31 +321,29 @@ def near_duplicate_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = materialize(many.join(join.nodes.select("node", "n"), "node").where(F.col("keys") * 20 >= F.col("n")).select("node"), "mixed")
     if not mixed.isEmpty():
         again = materialize(_rarest_first(join.sets_of(mixed)), "again")
-        links, members = _link_stars(join, again, links)
-        pairs = pairs.unionByName(_pairs_between(_unsettled(_with_component(again, members))))
+        for _ in range(STAR_ROUNDS):
+            open_ = materialize(_unsettled(_with_component(again, members)), "open")
+            # A component's members stand apart from each other no more: one of the others is tried.
+            found = join.linked(join.near(_star_between(open_)))
+            if found.isEmpty():
+                break
+            links = links.unionByName(found)
+            members = connected_components(links)
+        pairs = pairs.unionByName(_pairs_in_reach(_unsettled(_with_component(again, members))))
     more = join.linked(join.near(pairs))
     if not more.isEmpty():
         members = connected_components(links.unionByName(more))
     return described, materialize(members, "members")
 
 
-def _link_stars(join: SetJoin, groups: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Links and components after all pairs of leaders and members are settled: first one leader for each member, then
-    those of its other leaders that are still in another component."""
-    near = join.near(_star(groups))
-    first = near.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("x")).select("x.a", "b", "x.na", "x.nb")
-    found = join.linked(first)
-    links = found if links is None else links.unionByName(found)
-    members = connected_components(links)
-    for side in "ab":
-        own = members.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        near = near.join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    left = near.where(F.col("ca") != F.col("cb")).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = join.linked(materialize(left.select("a", "b", "na", "nb"), "left"))
-    if more.isEmpty():
-        return links, members
-    links = links.unionByName(more)
-    return links, connected_components(links)
+def _star_between(groups: DataFrame) -> DataFrame:
+    """``a, b``: for each node the most central member of its unsettled keys that is in another component."""
+    company = groups.groupBy("node").agg(F.sum("size").alias("company"))
+    known = groups.select("key", "node", "component").join(company, "node")
+    central = known.groupBy("key").agg(F.max(F.struct("company", "node", "component")).alias("top"))
+    apart = known.join(central, "key").where(F.col("top.component") != F.col("component"))
+    met = apart.groupBy("node").agg(F.max("top").alias("top"))
+    return met.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
