@@ -18,7 +18,7 @@ import numpy as np
 from pyspark import TaskContext
 
 # Words kept per task, some 200 bytes each; beyond it the cache starts afresh.
-CACHED_WORDS = 900_000
+CACHED_WORDS = 400_000
 
 
 def _byte_letters() -> dict[int, str]:
