@@ -151,7 +151,7 @@ def test_held_out_accuracy(spark, small_network):
 
 @needs_data
 def test_language_of_awkward_documents(awkward, nothing, small_network):
-    from conftest import AWKWARD
+    from llm_cases import AWKWARD
 
     got = langid.predict(awkward, small_network).collect()
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in AWKWARD)

@@ -90,7 +90,7 @@ def test_join_is_that_of_brute_force(table_of, seed):
 
 
 def test_join_of_awkward_documents(awkward, nothing):
-    from conftest import AWKWARD
+    from llm_cases import AWKWARD
 
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(awkward).collect())
     assert got == brute_components(AWKWARD)

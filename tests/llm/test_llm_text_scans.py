@@ -60,7 +60,7 @@ def test_secrets_of_one_owner_are_live_and_copied_ones_are_examples(table_of):
 
 @pytest.mark.parametrize("find", [find_secrets, find_private])
 def test_scans_of_awkward_and_empty_tables(find, awkward, nothing):
-    from conftest import AWKWARD
+    from llm_cases import AWKWARD
 
     rows = find(awkward).collect()
     assert collections.Counter(r.doc_id for r in rows) == collections.Counter(r[0] for r in AWKWARD)

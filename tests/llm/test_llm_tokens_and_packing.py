@@ -92,7 +92,7 @@ def check_packing(rows, docs, capacity=1024):
 
 
 def test_packing_of_awkward_documents(spark, awkward):
-    from conftest import AWKWARD
+    from llm_cases import AWKWARD
 
     rows = pack_documents(spark, awkward, public_tokenizers.path("byte_bpe_50k.json")).collect()
     check_packing(rows, AWKWARD)
@@ -103,7 +103,7 @@ def test_packing_of_nothing(spark, nothing):
 
 
 def test_files_round_trip(spark, awkward, nothing):
-    from conftest import AWKWARD
+    from llm_cases import AWKWARD
 
     path = public_tokenizers.path("word_bpe_49k.json")
     reference = library("word_bpe_49k.json")
