@@ -1,20 +1,22 @@
 """Secret scan with corpus-wide ownership.
 
-A credential that many owners have is a copied example; one that a single owner has looks
-live. A first pass hashes the values of base spans. Their lengths and a bitmap of their hashes
+A credential that many owners or many repositories have is a copied example; one that a single
+owner has in few repositories looks live. A first pass hashes the values of base spans. Their lengths and a bitmap of their hashes
 go to the second pass, which hashes every occurrence of a possible credential: those values, bare
 runs of their alphabet that may be one of them (whatever they look like), and bare tokens that
 look like keys. The bitmap only spares rows: what it lets through by chance is told apart by the
-whole hash. The hashes are counted in two steps (per owner, combined before
-the shuffle, then per hash), so a value that a third of all documents quote costs one row per
-owner. The method adds, as kind ``live``, bare occurrences outside the base spans whose value
+whole hash. Repositories and owners of a hash are counted in two steps each (distinct pairs first,
+combined before the shuffle, then per hash), so a value that a third of all documents quote has
+no task of its own. A document without an owner is an owner of its own, and one without a repository
+a repository of its own. The method adds, as kind ``live``, bare occurrences outside the base spans whose value
 
-* is the value of a base span somewhere in the corpus and belongs to at most ``owners`` owners, or
+* is the value of a base span somewhere in the corpus and belongs to at most ``owners`` owners and at
+  most ``repos`` repositories, or
 * has the make-up of a key (both letter cases and digits) and belongs to one owner in one repository.
 
 A value is taken without ``=`` before it and full stops after it. A bare run of its alphabet is tried
 whole, from behind each ``=`` and between them. Base spans stay whatever their owners; ``n_example`` and ``n_live`` say how many base values
-are copied examples and how many are specific to an owner. Values are only kept as hashes.
+are copied examples and how many are live. Values are only kept as hashes.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from snapweave.runtime import materialize
 
 KINDS = (*SECRET_KINDS, "live")
 OWNERS = 1  # a value of more owners is no live credential
+REPOS = 5  # nor is one of more repositories, whoever owns them
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,128}")
 LEAST_CHARS = 12  # of a base value
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
@@ -134,11 +137,14 @@ def _scanner(bitmap, lengths: frozenset[int]):
     return scan
 
 
-def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", owners: int = OWNERS) -> DataFrame:
-    """One row per document: ``__row__, doc_id``, counts, ``base_sha256``, ``spans``, ``live_spans``, ``n_live``, ``n_example``.
+def find_secrets(
+    docs: DataFrame, repo: str = "doc_id", owner: str = "source", owners: int = OWNERS, repos: int = REPOS
+) -> DataFrame:
+    """One row per document: ``__row__, doc_id``, counts, ``base_sha256``, ``spans``, ``n_live``, ``n_example``, ``added``, ``live_values``.
 
-    ``live_spans`` lists added spans and base spans that hold a value of at most ``owners`` owners.
-    Null text is empty and has no spans; rows without an owner count as one owner of their own.
+    A live value has at most ``owners`` owners and at most ``repos`` repositories; ``added`` lists the added spans and
+    ``live_values`` the base values that are live. Null text is empty and has no spans; each row without an owner
+    is an owner of its own, each without a repository a repository of its own.
     """
     keyed = numbered(docs).select(
         ROW,
@@ -151,27 +157,26 @@ def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", o
     scan = _scanner(docs.sparkSession.sparkContext.broadcast(bitmap), lengths)
     # Compact before the few rows that hold anything are looked at again.
     found = materialize(keyed.mapInArrow(scan, _FOUND), "secrets")
-    who = ["repo", "owner"]
+    # Numbers of rows that lack a name stand apart from all names.
+    who = [F.struct(c, F.when(F.col(c).isNull(), F.col(ROW)).alias(ROW)).alias(c) for c in ("repo", "owner")]
     named = found.where(F.size("values") > 0).select(ROW, *who, F.explode("values").alias("value"))
-    bare = found.where(F.size("bare") > 0).select(ROW, *who, F.explode("bare").alias("b")).select(ROW, *who, "b.*")
-    seen = named.select(*who, "value", F.lit(True).alias("in_base")).unionByName(
-        bare.select(*who, "value", F.lit(False).alias("in_base"))
-    )
-    per_owner = seen.groupBy("value", "owner").agg(
-        F.max("in_base").alias("in_base"), F.min("repo").alias("low"), F.max("repo").alias("high")
-    )
-    stats = per_owner.groupBy("value").agg(
-        F.count("*").alias("owners"),
-        F.max("in_base").alias("in_base"),
-        F.coalesce(F.min("low") == F.max("high"), F.lit(True)).alias("one_repo"),
+    bare = found.where(F.size("bare") > 0).select(ROW, *who, F.explode("bare").alias("b")).select(ROW, "repo", "owner", "b.*")
+    seen = named.select("repo", "owner", "value", F.lit(True).alias("in_base")).unionByName(
+        bare.select("repo", "owner", "value", F.lit(False).alias("in_base"))
     )
+    per_repo = seen.groupBy("value", "repo").agg(F.max("in_base").alias("in_base"))
+    per_repo = per_repo.groupBy("value").agg(F.count("*").alias("repos"), F.max("in_base").alias("in_base"))
+    per_owner = seen.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
+    stats = per_repo.join(per_owner, "value")
+    specific = (F.col("owners") <= owners) & (F.col("repos") <= repos)
+    stats = stats.withColumn("is_live", specific)
     stats = materialize(stats, "owners")
-    live = stats.where(F.col("owners") <= owners)
+    live = stats.where("is_live")
     # Of spans within each other the longest is listed.
     ahead = Window.partitionBy(ROW).orderBy("a", F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     added = (
         bare.join(live, "value")
-        .where(F.col("in_base") | (F.col("mixed") & F.col("one_repo") & (F.col("owners") == 1)))
+        .where(F.col("in_base") | (F.col("mixed") & (F.col("repos") == 1) & (F.col("owners") == 1)))
         .select(ROW, "a", "b", F.max("b").over(ahead).alias("reached"))
         .where(F.col("reached").isNull() | (F.col("b") > F.col("reached")))
         .groupBy(ROW)
@@ -181,9 +186,9 @@ def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", o
         named.join(stats, "value")
         .groupBy(ROW)
         .agg(
-            F.count_if(F.col("owners") <= owners).alias("n_live"),
-            F.count_if(F.col("owners") > owners).alias("n_example"),
-            F.collect_set(F.when(F.col("owners") <= owners, F.col("value"))).alias("live_values"),
+            F.count_if("is_live").alias("n_live"),
+            F.count_if(~F.col("is_live")).alias("n_example"),
+            F.collect_set(F.when(F.col("is_live"), F.col("value"))).alias("live_values"),
         )
     )
     return (
@@ -223,7 +228,7 @@ def _masked(text: str, added: list[str], live_values: set[str]) -> str:
 
 
 def mask_live_secrets(docs: DataFrame) -> DataFrame:
-    """Documents with credentials of a single owner masked in ``text`` (and ``n_chars`` counted anew, where there
+    """Documents with live credentials masked in ``text`` (and ``n_chars`` counted anew, where there
     is one). Copied examples and every other document stay as they are."""
     found = find_secrets(docs).where((F.size("added") > 0) | (F.size("live_values") > 0))
     hit = materialize(found.select(ROW, F.struct("added", "live_values").alias(HIT)), "live")

@@ -33,3 +33,18 @@ def test_bare_copies_count_for_the_owners_of_a_value(table_of):
     rows = [(1, "token = abcdefgh.ijkl", "en", "a", 0)] + [(n, "as in abcdefgh.ijkl", "en", f"o{n}", 0) for n in range(2, 6)]
     got = {r.doc_id: r for r in find_secrets(table_of(rows)).collect()}
     assert (got[1].n_live, got[1].n_example) == (0, 1) and all(got[n].spans == "" for n in range(2, 6))
+
+
+def test_examples_copied_within_one_source_are_no_live_secrets(table_of):
+    example, live, lone = "q1w2e3r4t5y6u7i8o9p0", "Zk3vQ9xT7mW2pL8sD4", "Hn4cR8bY6jK1fG5aS2"
+    rows = [(n, f"password: {example} and bare {example}.", "en", "hot", 0) for n in range(1, 31)]
+    rows += [(n, f"secret: {live}", "en", "hot", 0) for n in (40, 41)]
+    rows += [(n, f"token = {lone}", "en", None, 0) for n in (50, 51)]
+    rows += [(60, "token = onlyhereonce", "en", None, 0), (None, "password=nodocid12345", "en", "hot", 0)]
+    docs = table_of(rows)
+    got = {r.doc_id: r for r in find_secrets(docs).collect()}
+    assert all((got[n].n_live, got[n].n_example) == (0, 1) and "live" not in got[n].spans for n in range(1, 31))
+    assert got[40].n_live == 1 and got[60].n_live == 1 and got[None].n_live == 1
+    assert (got[50].n_live, got[50].n_example) == (0, 1)
+    masked = {r.doc_id: r.text for r in mask_live_secrets(docs).collect()}
+    assert masked[1] == rows[0][1] and masked[40] == f"secret: {MASK}" and masked[50] == f"token = {lone}"
