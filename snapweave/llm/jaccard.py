@@ -62,7 +62,7 @@ def _fingerprints(sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """One row per document: ``__row__, doc_id, n, node, check, sketch``; ``node`` is null without words."""
+    """One row per document of ``docs`` (numbered): ``__row__, doc_id, n, node, check, sketch``; ``node`` is null without words."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +85,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 )
 
     schema = f"{ROW} bigint, doc_id bigint, n bigint, node bigint, check bigint, sketch array<bigint>"
-    return numbered(docs).select(ROW, F.col("doc_id").cast("long"), "text").mapInArrow(describe, schema)
+    return docs.select(ROW, F.col("doc_id").cast("long"), "text").mapInArrow(describe, schema)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _hamming(a: Column, b: Column) -> Column:
 
 
 class SetJoin:
-    """Tests of pairs of nodes against the documents' sets."""
+    """Tests of pairs of nodes against the sets of the (numbered) documents."""
 
     def __init__(self, docs: DataFrame, described: DataFrame):
         self.docs = docs
@@ -188,7 +188,7 @@ class SetJoin:
         places = materialize(wanted.join(self.nodes.select("node", ROW), "node"), "wanted")
         if places.count() <= BROADCAST_ROWS:
             places = F.broadcast(places)
-        texts = numbered(self.docs).select(ROW, "text").join(places, ROW).select("node", "text")
+        texts = self.docs.select(ROW, "text").join(places, ROW).select("node", "text")
         kind = np.int32 if bits == 32 else np.int64
 
         def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def _pairs_in_reach(groups: DataFrame) -> DataFrame:
 
 
 def near_duplicate_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``document_sets`` of all documents, and ``node, component`` of the nodes that have links."""
+    """``document_sets`` of all (numbered) documents, and ``node, component`` of the nodes that have links."""
     described = materialize(document_sets(docs), "described")
     join = SetJoin(docs, described)
     groups = materialize(gather(signatures(docs)), "groups")
@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A document's component is named by the smallest ``doc_id`` that links reach from it, its own included (null if
     all of them are null). Null text, empty text and text without words have no shingles and are linked with nothing.
     """
-    described, members = near_duplicate_nodes(docs)
+    described, members = near_duplicate_nodes(numbered(docs.select("doc_id", "text")))
     placed = described.select(ROW, "doc_id", "n", "node").join(members, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     least = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -367,6 +367,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group: the one with the smallest ``doc_id`` (then the first row). Documents without
     words stay. All columns as they are."""
+    names, docs = docs.columns, numbered(docs)
     described, members = near_duplicate_nodes(docs)
     placed = described.select(ROW, "doc_id", "node").join(members, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
@@ -376,4 +377,4 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = materialize(kept, "kept")
     if kept.count() <= BROADCAST_ROWS:
         kept = F.broadcast(kept)
-    return numbered(docs).join(kept, ROW, "left_semi").select(*docs.columns)
+    return docs.join(kept, ROW, "left_semi").select(*names)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from snapweave.llm.rows import ROW, merged_list, numbered
+from snapweave.llm.rows import ROW, merged_list, with_number
 from snapweave.llm.spans import PRIVATE_KINDS, digest, listed, private_spans
 from snapweave.runtime import materialize
 
@@ -111,7 +111,7 @@ def find_private(docs: DataFrame, support: int = SUPPORT, confidence: float = CO
 
     Null text is empty and has no spans. Repeated rows are separate rows.
     """
-    keyed = numbered(docs).select(ROW, F.col("doc_id").cast("long"), "text")
+    keyed = with_number(docs).select(ROW, F.col("doc_id").cast("long"), "text")
     found = materialize(keyed.mapInArrow(_scan, _FOUND), "private")
     seen = found.where(F.size("seen") > 0).select(ROW, F.explode("seen").alias("s")).select(ROW, "s.*")
     places = seen.select(ROW, "value", "seed", "span", F.explode("patterns").alias("pattern"))

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from snapweave.runtime import materialize
+
 ROW = "__row__"
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number that is the same at each reading of the same files, so that rows can be told apart
-    and found again whatever their ``doc_id``. ``docs`` must be a plain read of a table."""
+def with_number(docs: DataFrame) -> DataFrame:
+    """Rows with a number each, whatever their ``doc_id``. It depends on how the input is split, which may change from
+    one reading to the next (cores at hand, lost executors): only for what is written once and never met with ``docs`` again."""
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``with_number``, written once: rows of the result keep their numbers at each reading and can be found again."""
+    return materialize(with_number(docs), "numbered")
+
+
 def merged_list(base: str, added: Column, kinds: tuple[str, ...]) -> Column:
     """``base`` (a comma-joined list of kind:start:end) with an array of further such texts, in the same order."""
     every = F.filter(F.concat(F.split(base, ","), F.coalesce(added, F.array().cast("array<string>"))), lambda s: s != "")

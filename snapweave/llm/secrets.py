@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from snapweave.llm.rows import ROW, merged_list, numbered
+from snapweave.llm.rows import ROW, merged_list, numbered, with_number
 from snapweave.llm.spans import SECRET_KINDS, digest, listed, secret_spans
 from snapweave.runtime import materialize
 
@@ -144,9 +144,9 @@ def find_secrets(
 
     A live value has at most ``owners`` owners and at most ``repos`` repositories; ``added`` lists the added spans and
     ``live_values`` the base values that are live. Null text is empty and has no spans; each row without an owner
-    is an owner of its own, each without a repository a repository of its own.
+    is an owner of its own, each without a repository a repository of its own. ``docs`` may be numbered already.
     """
-    keyed = numbered(docs).select(
+    keyed = (docs if ROW in docs.columns else with_number(docs)).select(
         ROW,
         F.col("doc_id").cast("long"),
         F.col(repo).cast("string").alias("repo"),
@@ -230,11 +230,11 @@ def _masked(text: str, added: list[str], live_values: set[str]) -> str:
 def mask_live_secrets(docs: DataFrame) -> DataFrame:
     """Documents with live credentials masked in ``text`` (and ``n_chars`` counted anew, where there
     is one). Copied examples and every other document stay as they are."""
+    names, schema, docs = docs.columns, docs.schema, numbered(docs)
     found = find_secrets(docs).where((F.size("added") > 0) | (F.size("live_values") > 0))
     hit = materialize(found.select(ROW, F.struct("added", "live_values").alias(HIT)), "live")
-    joined = numbered(docs).join(hit, ROW, "left")
-    untouched = joined.where(F.col(HIT).isNull()).select(*docs.columns)
-    names, schema = docs.columns, docs.schema
+    joined = docs.join(hit, ROW, "left")
+    untouched = joined.where(F.col(HIT).isNull()).select(*names)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

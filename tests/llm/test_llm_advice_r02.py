@@ -2,6 +2,7 @@
 
 import pytest
 
+from snapweave.llm.jaccard import near_duplicates, without_near_duplicates
 from snapweave.llm.secrets import MASK, find_secrets, mask_live_secrets
 
 PLAIN = {
@@ -48,3 +49,38 @@ def test_examples_copied_within_one_source_are_no_live_secrets(table_of):
     assert (got[50].n_live, got[50].n_example) == (0, 1)
     masked = {r.doc_id: r.text for r in mask_live_secrets(docs).collect()}
     assert masked[1] == rows[0][1] and masked[40] == f"secret: {MASK}" and masked[50] == f"token = {lone}"
+
+
+@pytest.fixture
+def shifting(monkeypatch):
+    """Splits change with every reading that numbers rows, as they do when cores come and go."""
+    from pyspark.sql import functions as F
+
+    true, calls = F.monotonically_increasing_id, []
+
+    def moved():
+        calls.append(1)
+        return true() + F.lit(1000 * len(calls)) if len(calls) > 1 else true()
+
+    monkeypatch.setattr(F, "monotonically_increasing_id", moved)
+
+
+def test_row_numbers_hold_when_splits_change(table_of, shifting):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join([*words[:-1], f"x{n}"]), "en", "s", 0) for n in range(4)]
+    rows += [(10 + n, " ".join(f"d{n}v{i}" for i in range(40)), "en", "s", 0) for n in range(4)]
+    docs = table_of(rows)
+    assert {r.doc_id for r in without_near_duplicates(docs).collect()} == {0, 10, 11, 12, 13}
+
+
+def test_component_numbers_hold_when_splits_change(table_of, shifting):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join([*words[:-1], f"x{n}"]), "en", "s", 0) for n in range(4)] + [(9, "one two three four five six", "en", "s", 0)]
+    assert {r.doc_id: r.component_id for r in near_duplicates(table_of(rows)).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+
+
+def test_the_right_documents_are_masked_when_splits_change(table_of, shifting):
+    value = "Zk3vQ9xT7mW2pL8sD4"
+    rows = [(1, "nothing to see in this one", "en", "a", 0), (2, f"token = {value}", "en", "a", 0), (3, "nor is there here", "en", "a", 0)]
+    masked = {r.doc_id: r.text for r in mask_live_secrets(table_of(rows)).collect()}
+    assert masked == {1: rows[0][1], 2: f"token = {MASK}", 3: rows[2][1]}
