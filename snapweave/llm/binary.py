@@ -42,12 +42,12 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int, kind:
     make_folder(folder)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, cache = TaskContext.get().partitionId(), WordCache.of_task(vocabulary)
+        shard = TaskContext.get().partitionId()
         lengths: list[int] = []
         numbers: list[int] = []
         nulls = total = 0
 
-        def ids():
+        def ids(cache: WordCache):
             nonlocal nulls, total
             for batch in batches:
                 at = 0
@@ -62,7 +62,8 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int, kind:
                         at += 1
                         yield piece.tobytes()
 
-        write_file(f"{folder}/{shard}.ids", ids())
+        with WordCache.lent(vocabulary) as cache:
+            write_file(f"{folder}/{shard}.ids", ids(cache))
         write_file(f"{folder}/{shard}.doc", [np.array(numbers, "<i8").tobytes()])
         write_file(f"{folder}/{shard}.len", [np.array(lengths, "<i8").tobytes()])
         if lengths:

@@ -247,7 +247,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, cache = TaskContext.get().partitionId(), WordCache.of_task(vocabulary)
+        with WordCache.lent(vocabulary) as cache:
+            yield from pieces_of(batches, cache)
+
+    def pieces_of(batches: Iterator[pa.RecordBatch], cache: WordCache) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             numbers, at = batch.column("doc_id"), 0

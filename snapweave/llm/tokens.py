@@ -1,8 +1,8 @@
 """Token ids of whole texts with the ``tokenizers`` library, each distinct word encoded once per task.
 
 Byte-pair merges never cross a pre-token, so the ids of a text are the ids of its pre-tokens
-one after the other. Words repeat; ``WordCache`` asks the library only for those not seen
-before in the task and looks the others up. Texts whose white space could be cut in more than
+one after the other. Words repeat; ``WordCache`` asks the library only for those it
+does not hold and looks the others up. Texts whose white space could be cut in more than
 one way go to the library whole.
 """
 
@@ -12,13 +12,18 @@ import gc
 import json
 import os
 import re
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain, repeat
 
 import numpy as np
-from pyspark import TaskContext
 
-# Words kept per task, some 200 bytes each; beyond it the cache starts afresh.
-CACHED_WORDS = 400_000
+# Words kept per worker, some 200 bytes each, in two generations: when the newer one holds half of
+# them it becomes the older one, and what was not used since the last change goes.
+CACHED_WORDS = 600_000
+# After its last task a worker keeps them for so many seconds, for the next task of the same stage.
+IDLE_SECONDS = 3.0
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,17 +61,35 @@ class WordCache:
         self.apart = re.compile(r"[,.](?<=[A-Za-zÀ-ÖØ-öø-ÿ][,.])(?=[ \n]|\Z)").sub
         self._reset()
 
+    _kept: tuple[str, WordCache] | None = None
+    _timer: threading.Timer | None = None
+
+    @classmethod
+    @contextmanager
+    def lent(cls, path: str) -> Iterator[WordCache]:
+        """The worker's cache for a vocabulary; freed when no task has asked for it within ``IDLE_SECONDS``."""
+        if cls._timer is not None:
+            cls._timer.cancel()
+        kept, cls._kept = cls._kept, None
+        cache = kept[1] if kept is not None and kept[0] == path else cls(path)
+        try:
+            yield cache
+        finally:
+            cls._kept = (path, cache)
+            cls._timer = threading.Timer(IDLE_SECONDS, cls.free)
+            cls._timer.daemon = True
+            cls._timer.start()
+
     @classmethod
-    def of_task(cls, path: str) -> WordCache:
-        """One cache per worker process and vocabulary, kept from task to task."""
-        kept = cls.__dict__.get("_kept")
-        if kept is None or kept[0] != path:
-            kept = (path, cls(path))
-            if TaskContext.get() is not None:
-                cls._kept = kept
-        return kept[1]
+    def free(cls) -> None:
+        cls._kept = None
 
     def _reset(self) -> None:
+        self.older: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self._begin()
+
+    def _begin(self) -> None:
+        """An empty newer generation."""
         self.place: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(2, np.int64)  # the odd place is empty
@@ -77,7 +100,14 @@ class WordCache:
     def _add(self, words: list[str]) -> None:
         """Letters up to U+017F are one pre-token and need no normal form but lower case: straight to the merges."""
         merge, letters, fresh, rest, odd = self.merge, self.letters, [], [], []
+        older, flat, starts = self.older
         for word in words:
+            at = older.get(word)
+            if at is not None:
+                if at == ODD:
+                    odd.append(word)
+                fresh.append(flat[starts[at] : starts[at + 1]].tolist())
+                continue
             head = word[:1]
             if self.drops_space:
                 lead, body, space = "", word, ""
@@ -120,8 +150,9 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; an empty text has none."""
-        if len(self.place) > self.limit:
-            self._reset()
+        if len(self.place) > self.limit // 2:
+            self.older = (self.place, self.flat, self.starts)
+            self._begin()
         collecting = gc.isenabled()
         gc.disable()  # millions of small lists without cycles
         try:
@@ -136,10 +167,10 @@ class WordCache:
         split = [words or [] for words in split]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         cuts = np.concatenate([[0], np.cumsum(counts)])
-        places = np.fromiter(map(self.place.get, chain.from_iterable(split), repeat(-1)), np.int64, int(cuts[-1]))
+        every = list(chain.from_iterable(split))
+        places = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
         missing = np.flatnonzero(places < 0)
         if len(missing):
-            every = list(chain.from_iterable(split))
             words = [every[i] for i in missing]
             self._add(list(dict.fromkeys(words)))
             places[missing] = list(map(self.place.__getitem__, words))
