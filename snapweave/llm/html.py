@@ -55,7 +55,7 @@ BOILERPLATE = set(
     "consent disqus footer gdpr header menu nav navbar navigation newsletter notice notices pagination popup promo "
     "related share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</\s*([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</\s*([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 NAME = re.compile(r"[A-Za-z]+|[^A-Za-z\s]+")
 
@@ -82,14 +82,19 @@ def parse(text: str) -> Element:
     root = Element("")
     open_: list[Element] = [root]
     at, end = 0, len(text)
+    # Behind the last ``>`` no tag can end: what is left is text, up to a comment that never ends.
+    last = text.rfind(">") + 1
     while at < end:
-        m = TOKEN.search(text, at)
+        m = TOKEN.search(text, at, last) if at < last else None
         if m is None:
-            open_[-1].children.append(text[at:])
+            rest = text[at:]
+            open_[-1].children.append(rest[: rest.find("<!--")] if "<!--" in rest else rest)
             break
         if m.start() > at:
             open_[-1].children.append(text[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break
         if m[1]:
             name = m[1].lower()
             # The end of a block ends what is open in it; a stray end tag ends nothing.
@@ -113,7 +118,7 @@ def parse(text: str) -> Element:
             if name in VOID:
                 continue
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
+                close = re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(text, at)
                 node.children.append(text[at : close.start() if close else end])
                 at = close.end() if close else end
                 continue

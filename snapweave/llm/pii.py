@@ -16,6 +16,7 @@ combined before they are shuffled, so a frequent pattern is one row per instance
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +28,8 @@ from snapweave.runtime import materialize
 
 KINDS = (*PRIVATE_KINDS, "context")
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.9, 2
-# An identifier has at least four digits, or an at sign inside.
-TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;]*[0-9@][^\s\"'<>()\[\]{},;]*")
+# An identifier has at least four digits, or an at sign inside. A token begins where its run begins.
+TOKEN = re.compile(r"(?<![^\s\"'<>()\[\]{},;])[^\s\"'<>()\[\]{},;0-9@]*+[0-9@][^\s\"'<>()\[\]{},;]*+")
 WORD = re.compile(r"[^\W\d_]+")
 
 _FOUND = (
@@ -37,10 +38,29 @@ _FOUND = (
 )
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a place in a text: at most 60 characters on each side are looked at for words."""
-    before = [w.lower() for w in WORD.findall(text[max(0, start - 60) : start])]
-    after = [w.lower() for w in WORD.findall(text[end : end + 60])[:1]]
+class Contexts:
+    """Lexical patterns of places in a text: its words are listed once, when the first place asks for them."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, None
+
+    def of(self, start: int, end: int) -> list[str]:
+        if self.words is None:
+            self.words = [m.span() for m in WORD.finditer(self.text)]
+        first = bisect_left(self.words, (start,))
+        before = [self._word(k, start) for k in range(max(0, first - 2), first)]
+        following = bisect_left(self.words, (end,))
+        if following and self.words[following - 1][1] > end:  # a word that begins inside the place
+            following -= 1
+        after = [self.text[max(a, end) : b].lower() for a, b in self.words[following : following + 1]]
+        return patterns(before, after)
+
+    def _word(self, k: int, end: int) -> str:
+        a, b = self.words[k]
+        return self.text[a : min(b, end)].lower()
+
+
+def patterns(before: list[str], after: list[str]) -> list[str]:
     out = []
     if len(before) >= 2:
         out.append(f"{before[-2]} {before[-1]} _")
@@ -54,11 +74,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(7)]
         for text in batch.column("text").to_pylist():
             text = text or ""
-            found = list(private_spans(text))
+            found, near = list(private_spans(text)), Contexts(text)
             base, seen = listed(found, PRIVATE_KINDS), []
             for kind, start, end in found:
                 value = digest(f"{kind}:{text[start:end].lower()}")
-                seen.append({"value": value, "seed": True, "span": "", "patterns": contexts(text, start, end)})
+                seen.append({"value": value, "seed": True, "span": "", "patterns": near.of(start, end)})
             for m in TOKEN.finditer(text):
                 token = m[0].strip(".:!?|*#$%&-")
                 start = m.start() + m[0].find(token) if token else m.start()
@@ -72,7 +92,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         "value": digest(token.lower()),
                         "seed": False,
                         "span": f"context:{start}:{end}",
-                        "patterns": contexts(text, start, end),
+                        "patterns": near.of(start, end),
                     }
                 )
             row = [sum(f[0] == kind for f in found) for kind in PRIVATE_KINDS] + [base, digest(base), seen]
@@ -86,12 +106,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def score_instances(edges: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """``value, score`` of instances that are no seeds, from ``value, seed, pattern, docs`` (distinct pairs)."""
+def strong_patterns(places: DataFrame, support: int) -> DataFrame:
+    """Patterns with at least ``support`` distinct instances, in at least as many documents (rows)."""
+    # Two steps each: pairs first, so that a frequent pattern is combined before its pairs are counted.
+    instances = places.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
+    documents = places.select("pattern", ROW).distinct().groupBy("pattern").agg(F.count("*").alias("d"))
+    return instances.where(F.col("n") >= support).join(documents.where(F.col("d") >= support), "pattern").select("pattern")
+
+
+def score_instances(places: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+    """``value, score`` of instances that are no seeds, from their places: row, ``value, seed, pattern``."""
     # Patterns that too few share can never score; dropping their edges first leaves a small graph.
-    strong = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("docs").alias("d"), F.max("seed").alias("s"))
-    strong = strong.where((F.col("n") >= support) & (F.col("d") >= support)).select("pattern")
-    edges = materialize(edges.join(strong, "pattern"), "edges")
+    edges = places.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    edges = materialize(edges.join(strong_patterns(places, support), "pattern"), "edges")
     scores = edges.select("value", F.col("seed").cast("double").alias("score")).distinct()
     for _ in range(rounds):
         patterns = edges.join(scores, "value").groupBy("pattern").agg(F.avg("score").alias("worth"))
@@ -115,8 +142,7 @@ def find_private(docs: DataFrame, support: int = SUPPORT, confidence: float = CO
     found = materialize(keyed.mapInArrow(_scan, _FOUND), "private")
     seen = found.where(F.size("seen") > 0).select(ROW, F.explode("seen").alias("s")).select(ROW, "s.*")
     places = seen.select(ROW, "value", "seed", "span", F.explode("patterns").alias("pattern"))
-    edges = places.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("docs"))
-    good = score_instances(edges, support, rounds).where(F.col("score") >= confidence)
+    good = score_instances(places, support, rounds).where(F.col("score") >= confidence)
     added = (
         seen.where(~F.col("seed")).join(good, "value").groupBy(ROW).agg(F.collect_set("span").alias("added"))
     )

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 
 Span = tuple[str, int, int]
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# Each run is taken once, with what makes it an address as an optional tail: a match without the tail is
+# none. A long run that leads to nothing would else be tried again from each of its characters.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?")
+IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ASSIGN = re.compile(
@@ -41,10 +43,11 @@ def private_spans(text: str) -> Iterator[Span]:
     """E-mail addresses, network addresses, card and phone numbers; a match that fails its test is dropped whole."""
     if "@" in text:
         for m in EMAIL.finditer(text):
-            yield "email", m.start(), m.end()
+            if m[1]:
+                yield "email", m.start(), m.end()
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+            if m[1] and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
                 yield "ip", m.start(), m.end()
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(found := _digits(m[0])) <= 19 and luhn(found):
