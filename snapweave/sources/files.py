@@ -111,9 +111,12 @@ def model_of_file(name: Column) -> Column:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """All prediction files of a folder or glob in one scan, ``model`` taken from the file name."""
+    """All prediction files of a folder or glob in one scan, ``model`` taken from the file name.
+
+    Only the keys must be there; a file without labels (a run that stopped early) gives null ones.
+    """
     names = T._parse_datatype_string(PREDICTION_SCHEMA).fieldNames()
-    extra = [c for c in names if c not in ("user_id", "exercise_id", "label")]
+    extra = [c for c in names if c not in ("user_id", "exercise_id")]
     df = read_csv(spark, path, PREDICTION_SCHEMA, optional=extra, file_column="_file")
     return df.select(*names, "_file").withColumn("model", model_of_file(F.col("_file"))).drop("_file")
 
