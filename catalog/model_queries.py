@@ -14,7 +14,7 @@ from snapweave.operators import evaluation as ev
 from snapweave.operators import prep, splits
 from snapweave.operators import tables as tab
 from snapweave.operators.neighbours import nearest_neighbours, vote
-from snapweave.plans import training
+from snapweave.plans import boosting, extra_trees, kernel, training
 from snapweave.runtime import materialize, scratch_path
 from snapweave.schema import HUMAN_NAMES, KEYS, LABEL_NAMES
 
@@ -605,14 +605,34 @@ def _outcome(build):
     return run
 
 
+def _fitted(fit):
+    """The same for models that are fitted on named columns."""
+
+    def run(spark, sf):
+        frame, names, columns = model_frame(spark, sf)
+        model = fit(train_of(frame), columns, len(names))
+        return checked(training.named_predictions(model.predict(frame.filter("split = 'test'")), names), names)
+
+    return run
+
+
+def _kernel_svm(spark, sf):
+    frame, names, columns = model_frame(spark, sf)
+    train = train_of(frame)
+    features = kernel.FourierFeatures(tuple(columns), kernel.scale_gamma(train, columns))
+    ready = materialize(kernel.with_kernel_vector(frame, features), "kernel")
+    fitted = kernel.rbf_svm(train.count(), parallelism=4).fit(train_of(ready))
+    return checked(training.predictions(fitted, ready.filter("split = 'test'"), names), names)
+
+
 OUTCOME_SQL = test_sessions_sql(sums_to_one="TRUE")
 
 
 query("m1_random_forest", OUTCOME_SQL)(_outcome(lambda train, names: training.random_forest(100)))
 query("m2_weighted_random_forest", OUTCOME_SQL)(_outcome(lambda train, names: training.random_forest(100, weight="weight", maxDepth=12)))
-query("m3_extra_trees", OUTCOME_SQL)(_outcome(lambda train, names: training.extra_trees(100, weight="weight", maxDepth=12)))
-query("m4_boosted_trees", OUTCOME_SQL)(_outcome(lambda train, names: training.boosted_trees(5, weight="weight", parallelism=4)))
-query("m5_linear_svm", OUTCOME_SQL)(_outcome(lambda train, names: training.linear_svm(parallelism=4, maxIter=20)))
+query("m3_extra_trees", OUTCOME_SQL)(_fitted(lambda train, columns, n: extra_trees.fit_extra_trees(train, columns, n, weight="weight")))
+query("m4_boosted_trees", OUTCOME_SQL)(_fitted(lambda train, columns, n: boosting.fit_boosted(train, columns, n, weight="weight")))
+query("m5_linear_svm", OUTCOME_SQL)(_kernel_svm)
 query("m7_m11_logistic_regression", OUTCOME_SQL)(_outcome(lambda train, names: training.logistic_regression(train.count())))
 
 

@@ -251,23 +251,26 @@ def padded_sequences(
     keys: Sequence[str] = KEYS,
     carry: Sequence[str] = (),
     hot_rows: int | None = HOT_ROWS,
+    width: int | None = None,
 ) -> DataFrame:
     """One array of ``maxlen`` feature arrays per session: earliest rows kept, zero rows appended.
 
-    Rows past ``maxlen`` are dropped before anything is collected, so a group is never
-    larger than the padded result.
+    With a ``width``, ``features`` is a single column that holds arrays of so many numbers. ``length`` says
+    how many rows are real. Rows past ``maxlen`` are dropped before anything is collected, so a
+    group is never larger than the padded result.
     """
     order = order or model_order(df)
-    vector = F.array(*[F.col(f).cast("double") for f in features])
+    vector = F.col(*features) if width else F.array(*[F.col(f).cast("double") for f in features])
     rows = (
         number_rows(df, keys, order, hot_rows=hot_rows)
         .filter(F.col(POS) < maxlen)
         .select(*keys, *carry, POS, vector.alias("_vector"))
     )
     steps = F.transform(F.array_sort(F.collect_list(F.struct(POS, "_vector"))), lambda s: s["_vector"])
-    zero = F.array(*[F.lit(0.0) for _ in features])
+    zero = F.array_repeat(F.lit(0.0), width or len(features))
     packed = rows.groupBy(*keys).agg(steps.alias("_steps"), *[F.min_by(c, POS).alias(c) for c in carry])
     gap = F.greatest(F.lit(0), F.lit(maxlen) - F.size("_steps"))
+    packed = packed.withColumn("length", F.size("_steps"))
     return packed.withColumn("sequence", F.concat("_steps", F.array_repeat(zero, gap))).drop("_steps")
 
 

@@ -1,4 +1,4 @@
-"""Session classifiers as Spark ML jobs: preparation, six model families, grouped random search."""
+"""Session classifiers: preparation, models of Spark ML, grouped random search, named predictions."""
 
 from __future__ import annotations
 
@@ -219,6 +219,12 @@ def predictions(fitted: Transformer, df: DataFrame, labels: Sequence[str]) -> Da
     return named.withColumns({f"proba_{name}": values[i] for i, name in enumerate(labels)})
 
 
+def named_predictions(scored: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """The same columns from ``prediction`` and a ``probability`` array."""
+    name = F.element_at(F.array(*[F.lit(n) for n in labels]), (F.col("prediction") + 1).cast("int"))
+    return scored.withColumns({"pred_label": name} | {f"proba_{n}": F.col("probability")[i] for i, n in enumerate(labels)})
+
+
 @dataclass
 class FitOutcome:
     name: str
