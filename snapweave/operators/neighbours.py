@@ -25,6 +25,11 @@ TEST_BLOCK = 50_000
 _CHUNK = 256
 
 
+def pivot_count(train_rows: int) -> int:
+    """Pivots for so many train rows: a quarter of their root, from 32 to 512."""
+    return min(512, max(32, math.isqrt(train_rows) // 4))
+
+
 def neighbour_count(train_rows: int, wanted: int = 5) -> int:
     return min(wanted, train_rows)
 
@@ -81,7 +86,7 @@ def nearest_neighbours(
     k: int = 5,
     label: str = "label",
     keys: Sequence[str] = KEYS,
-    pivots: int = 32,
+    pivots: int | None = None,
     train_block: int = TRAIN_BLOCK,
     test_block: int = TEST_BLOCK,
 ) -> DataFrame:
@@ -95,7 +100,8 @@ def nearest_neighbours(
     train = train.select(name.alias("_name"), F.col(label).alias("label"), vector)
     test = test.select(name.alias("_test"), vector)
 
-    # A fixed number of pivots: the train rows with the smallest hash.
+    # The pivots are the train rows with the smallest hash.
+    pivots = pivots or pivot_count(train.count())
     picked = train.orderBy(draw("pivot", "_name"), "_name").limit(pivots).select("_v").collect()
     if not picked:
         raise ValueError("no train rows")
@@ -149,17 +155,20 @@ def nearest_neighbours(
 
     test_parts = max(1, math.ceil(test.count() / test_block))
     block_count = F.array(*[F.lit(b) for b in blocks])
-    train_side = (
-        assigned.withColumn("block", F.pmod(F.xxhash64("_name"), block_count[F.col("cell")]).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(test_parts - 1))))
-        .select("cell", "block", "part", "_name", "label", "_v")
-    )
+    asked = test.withColumn("part", F.pmod(F.xxhash64("_test"), F.lit(test_parts)).cast("int"))
+    asked = materialize(asked.withColumn("_visits", visits("_v")), "visits")
     test_side = (
-        test.withColumn("part", F.pmod(F.xxhash64("_test"), F.lit(test_parts)).cast("int"))
-        .withColumn("cell", F.explode(visits("_v")))
+        asked.withColumn("cell", F.explode("_visits"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), block_count[F.col("cell")] - 1)))
         .select("cell", "block", "part", "_test", "_v")
     )
+    # A block of train rows goes only to the parts with a row that visits its cell.
+    visited = test_side.select(*[F.col(c).alias(f"_{c}") for c in ("cell", "block", "part")]).distinct()
+    train_side = (
+        assigned.withColumn("block", F.pmod(F.xxhash64("_name"), block_count[F.col("cell")]).cast("int"))
+        .join(visited, (F.col("cell") == F.col("_cell")) & (F.col("block") == F.col("_block")))
+        .select("cell", "block", F.col("_part").alias("part"), "_name", "label", "_v")
+    )
 
     def search(t: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if t.empty or r.empty:

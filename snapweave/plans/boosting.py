@@ -63,8 +63,11 @@ def bin_edges(rows: DataFrame, features: int, bins: int) -> list[np.ndarray]:
     return [np.unique(np.array(found[f"f{i}"] or [], float)) for i in range(features)]
 
 
-def histograms(rows: DataFrame, rounds, growing: Sequence[StepTree], level: int, edges: Sequence[np.ndarray], classes: int) -> DataFrame:
-    """Sums by (class, node of the level, feature, bin). Class -1 holds the loss (``g``) and the weight (``h``) of all rows."""
+def histograms(rows: DataFrame, rounds, growing: Sequence[StepTree], level: int, edges: Sequence[np.ndarray], classes: int) -> pa.Table:
+    """Sums by (class, node of the level, feature, bin). Class -1 holds the loss (``g``) and the weight (``h``) of all rows.
+
+    At most classes * nodes * features * bins rows come to the driver.
+    """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((list(rounds), list(growing), list(edges)))  # trees of at most CARRY rounds
 
@@ -91,7 +94,10 @@ def histograms(rows: DataFrame, rounds, growing: Sequence[StepTree], level: int,
         columns = [np.concatenate(c) for c in zip(*out)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _CELL_TYPES)], names=[n for n, _ in _CELL_TYPES])
 
-    return rows.mapInArrow(run, _CELLS).groupBy("class", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    sums = F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")
+    found = rows.mapInArrow(run, _CELLS).groupBy("class", "node", "feature", "bin").agg(*sums).toArrow()
+    shared.destroy()
+    return found
 
 
 @dataclass(frozen=True)
@@ -201,11 +207,11 @@ def fit_boosted(
         trees = [StepTree(np.zeros(inner, np.int32), np.full(inner, np.inf), np.zeros(2**s.depth)) for _ in range(classes)]
         for level in range(s.depth):
             cells = np.zeros((classes, 2**level, len(columns), width, 3))
-            for r in histograms(rows, rounds[carried:], trees, level, edges, classes).toPandas().itertuples(index=False):
-                if r[0] < 0:
-                    loss = r[4] / r[5]
-                else:
-                    cells[r[0], r[1], r[2], r[3]] = r[4:]
+            found = histograms(rows, rounds[carried:], trees, level, edges, classes)
+            c, *places, g, h, n = (column.to_numpy() for column in found.columns)
+            whole, some = np.flatnonzero(c < 0)[0], np.flatnonzero(c >= 0)
+            loss = float(g[whole] / h[whole])
+            cells[c[some], places[0][some], places[1][some], places[2][some]] = np.stack([g, h, n], 1)[some]
             if not level:
                 losses.append(loss)
                 if number == s.rounds:

@@ -157,7 +157,7 @@ def _gradient_sums(rows: DataFrame, net: Weights, inputs: int, chunk: int = 512)
     # One array per task, whatever its rows; the sums are one small vector.
     parts = rows.mapInArrow(run, "sums array<double>").select(array_to_vector("sums").alias("sums"))
     sums = parts.select(Summarizer.sum(F.col("sums")).alias("sums")).first()["sums"].toArray()
-    shared.unpersist()
+    shared.destroy()
     return (sums[:size], *sums[size:].tolist())
 
 

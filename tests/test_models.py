@@ -31,6 +31,31 @@ def test_neighbours_match_brute_force(spark, blocks):
     assert votes.count() == len(test) and votes.filter("votes < 1 OR votes > 5").isEmpty()
 
 
+def test_train_blocks_travel_only_where_they_are_visited(spark, monkeypatch):
+    """Ten far groups, each asked for by one part of the test rows: no part gets the whole train side."""
+    from snapweave.operators import neighbours
+
+    rng = np.random.default_rng(9)
+    points = lambda n: np.repeat(np.arange(10) * 1000.0, n)[:, None] + rng.normal(size=(10 * n, 2))
+    frame = lambda data, tag: spark.createDataFrame(
+        [(f"{tag}{i}", 1, "l", float(a), float(b)) for i, (a, b) in enumerate(data)],
+        "user_id string, exercise_id int, label string, a double, b double",
+    )
+    sent = spark.sparkContext.accumulator(0)
+    plain = neighbours._nearest_in_block
+
+    def counted(test, train, k):
+        sent.add(len(train))
+        return plain(test, train, k)
+
+    monkeypatch.setattr(neighbours, "_nearest_in_block", counted)
+    got = nearest_neighbours(frame(points(4), "t"), frame(points(60), "n"), ["a", "b"], 3, test_block=4, pivots=20)
+    assert got.count() == 40 * 3
+    # 600 train rows to each of the ten parts would be 6000; near groups and a few neighbouring pivots are enough.
+    assert 0 < sent.value < 6000
+    assert neighbours.pivot_count(100) == 32 and neighbours.pivot_count(10**6) == 250 and neighbours.pivot_count(10**12) == 512
+
+
 @pytest.fixture(scope="module")
 def frame(spark):
     rng = np.random.default_rng(8)
