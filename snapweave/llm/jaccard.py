@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snapweave.llm.components import connected_components
 from snapweave.llm.langid import _texts_as_bytes
-from snapweave.llm.rows import ROW, numbered
+from snapweave.llm.rows import ROW, numbered, released
 from snapweave.llm.shingles import mix, parity_sketches, reduce_by, shingle_sets, signature
 from snapweave.runtime import materialize
 
@@ -85,7 +85,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 )
 
     schema = f"{ROW} bigint, doc_id bigint, n bigint, node bigint, check bigint, sketch array<bigint>"
-    return docs.select(ROW, F.col("doc_id").cast("long"), "text").mapInArrow(describe, schema)
+    return docs.select(ROW, F.col("doc_id").cast("long"), "text").mapInArrow(released(describe), schema)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                         [pa.array(np.concatenate(keys).view(np.int64)), pa.array(who, pa.int64())], names=["key", "node"]
                     )
 
-    return docs.select("text").mapInArrow(sign, "key bigint, node bigint")
+    return docs.select("text").mapInArrow(released(sign), "key bigint, node bigint")
 
 
 def _groups_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def _groups_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def gather(signed: DataFrame) -> DataFrame:
     ordered = signed.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(_groups_in_order, "key bigint, leader bigint, node bigint, size bigint")
+    return ordered.mapInArrow(released(_groups_in_order), "key bigint, leader bigint, node bigint, size bigint")
 
 
 def _hamming(a: Column, b: Column) -> Column:
@@ -198,7 +198,7 @@ class SetJoin:
                     lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(sets.view(np.int64).astype(kind)))
                     yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), lists], names=["node", "elements"])
 
-        return texts.mapInArrow(elements, f"node bigint, elements array<{'int' if bits == 32 else 'bigint'}>")
+        return texts.mapInArrow(released(elements), f"node bigint, elements array<{'int' if bits == 32 else 'bigint'}>")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """``a, b, na, nb`` of the pairs that sizes and sketches do not rule out."""

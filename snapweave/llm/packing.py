@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from snapweave.llm.rows import released
 from snapweave.llm.tokens import WordCache, text_groups
 from snapweave.runtime import materialize
 
@@ -289,7 +290,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id:
                     names=["part", "doc_id", "piece", "start", "length", "ids_crc32", "nth"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(cut), _PIECES)
 
 
 def best_fit_pack(spark: SparkSession, pieces: DataFrame, capacity: int = 1024) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Row numbers and merged span lists that several operators need."""
+"""Row numbers, merged span lists and tidy tasks that several operators need."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snapweave.runtime import materialize
@@ -30,3 +33,19 @@ def merged_list(base: str, added: Column, kinds: tuple[str, ...]) -> Column:
         return F.struct(part[1].cast("long").alias("a"), rank[part[0]].alias("b"), part[2].cast("long").alias("c"), span.alias("s"))
 
     return F.array_join(F.transform(F.array_sort(F.transform(every, keyed)), lambda s: s["s"]), ",")
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(run: Run) -> Run:
+    """``run`` over the batches of a task, giving Arrow's freed memory back when the task ends: the worker lives on,
+    waits for other tasks, and would keep what the largest batches took."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task

@@ -28,14 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from snapweave.llm.rows import ROW, merged_list, numbered, with_number
+from snapweave.llm.rows import ROW, merged_list, numbered, released, with_number
 from snapweave.llm.spans import SECRET_KINDS, digest, listed, secret_spans
 from snapweave.runtime import materialize
 
 KINDS = (*SECRET_KINDS, "live")
 OWNERS = 1  # a value of more owners is no live credential
 REPOS = 5  # nor is one of more repositories, whoever owns them
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,128}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}+")
 LEAST_CHARS = 12  # of a base value
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 EQUALS = re.compile(r"=+")
@@ -89,7 +89,7 @@ def _base_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _known(docs: DataFrame) -> tuple[np.ndarray, frozenset[int]]:
     """Bitmap of the hashes of all base values, and their lengths."""
-    values = docs.select("text").mapInArrow(_base_values, "value string, length int").distinct()
+    values = docs.select("text").mapInArrow(released(_base_values), "value string, length int").distinct()
     values = materialize(values, "base_values")
     place = F.shiftright(F.conv(F.substring("value", 1, 7), 16, 10).cast("long"), 28 - BITS)
     bit = F.expr("shiftleft(1L, CAST(place % 64 AS INT))")
@@ -156,7 +156,7 @@ def find_secrets(
     bitmap, lengths = _known(docs)
     scan = _scanner(docs.sparkSession.sparkContext.broadcast(bitmap), lengths)
     # Compact before the few rows that hold anything are looked at again.
-    found = materialize(keyed.mapInArrow(scan, _FOUND), "secrets")
+    found = materialize(keyed.mapInArrow(released(scan), _FOUND), "secrets")
     # Numbers of rows that lack a name stand apart from all names.
     who = [F.struct(c, F.when(F.col(c).isNull(), F.col(ROW)).alias(ROW)).alias(c) for c in ("repo", "owner")]
     named = found.where(F.size("values") > 0).select(ROW, *who, F.explode("values").alias("value"))
@@ -212,6 +212,8 @@ def find_secrets(
 
 MASK = "[secret]"
 HIT = "__hit__"
+# Rows with a live value whose numbers are sent to every task (some 40 MB); beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def _masked(text: str, added: list[str], live_values: set[str]) -> str:
@@ -233,8 +235,11 @@ def mask_live_secrets(docs: DataFrame) -> DataFrame:
     names, schema, docs = docs.columns, docs.schema, numbered(docs)
     found = find_secrets(docs).where((F.size("added") > 0) | (F.size("live_values") > 0))
     hit = materialize(found.select(ROW, F.struct("added", "live_values").alias(HIT)), "live")
-    joined = docs.join(hit, ROW, "left")
-    untouched = joined.where(F.col(HIT).isNull()).select(*names)
+    ids = hit.select(ROW)
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)  # numbers only: the texts of other rows stay where they are
+    untouched = docs.join(ids, ROW, "left_anti").select(*names)
+    joined = docs.join(ids, ROW, "left_semi").join(hit, ROW)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,5 +251,5 @@ def mask_live_secrets(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(list(map(len, texts)), columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    masked = joined.where(F.col(HIT).isNotNull()).select(*names, HIT).mapInArrow(mask, schema)
+    masked = joined.select(*names, HIT).mapInArrow(released(mask), schema)
     return untouched.unionByName(masked)
