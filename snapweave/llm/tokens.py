@@ -85,7 +85,7 @@ class WordCache:
         cls._kept = None
 
     def _reset(self) -> None:
-        self.older: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.older: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, np.zeros(0, np.uint32), np.zeros(2, np.int64))
         self._begin()
 
     def _begin(self) -> None:
@@ -98,18 +98,38 @@ class WordCache:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add(self, words: list[str]) -> None:
-        """Letters up to U+017F are one pre-token and need no normal form but lower case: straight to the merges."""
-        merge, letters, fresh, rest, odd = self.merge, self.letters, [], [], []
-        older, flat, starts = self.older
+        """Ids of words that the newer generation lacks: from the older one, else from the library."""
+        place, flat, starts = self.older
+        known = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+        kept, fresh = np.flatnonzero(known >= 0), np.flatnonzero(known < 0).tolist()
+        lengths = starts[known[kept] + 1] - starts[known[kept]]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(starts[known[kept]] - ends[:-1], lengths) + np.arange(int(ends[-1]))]
+        self._append([words[i] for i in kept.tolist()], lengths, ids)
+        self.place.update(dict.fromkeys([words[i] for i in kept[known[kept] == ODD].tolist()], ODD))
+        if fresh:
+            found, odd = self._encoded([words[i] for i in fresh])
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self._append([words[i] for i in fresh], lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())))
+            self.place.update(dict.fromkeys(odd, ODD))
+
+    def _append(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.starts) - 1
+        self.place.update(zip(words, range(first, first + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+
+    def _encoded(self, words: list[str]) -> tuple[list[list[int]], list[str]]:
+        """Ids of new words, and the odd ones among them. Letters up to U+017F are one pre-token and need no normal
+        form but lower case: straight to the merges."""
+        merge, letters, lower, fresh, rest, odd = self.merge, self.letters, self.drops_space, [], [], []
+        before = "" if lower else letters[32]
         for word in words:
-            at = older.get(word)
-            if at is not None:
-                if at == ODD:
-                    odd.append(word)
-                fresh.append(flat[starts[at] : starts[at + 1]].tolist())
+            if word.isascii() and word.isalpha():
+                fresh.append([t.id for t in merge(before + (word.lower() if lower else word))])
                 continue
             head = word[:1]
-            if self.drops_space:
+            if lower:
                 lead, body, space = "", word, ""
             elif head == "\n":
                 lead, body, space = "\n", word[1:], ""
@@ -117,13 +137,13 @@ class WordCache:
                 lead, body, space = "", word[1:], ""
             else:
                 lead, body, space = "", word, " "
-            if not self.drops_space and (not body or len(body.split()) > 1 or body != body.strip()):
-                odd.append(word)
-                fresh.append([])
-            elif body.isalpha() and max(body) < "\u0180" and "\u0130" not in body:
-                whole = space + (body.lower() if self.drops_space else body)
+            if body.isalpha() and max(body) < "\u0180" and "\u0130" not in body:
+                whole = space + (body.lower() if lower else body)
                 ids = [t.id for t in merge(whole.encode().decode("latin-1").translate(letters))]
                 fresh.append([t.id for t in merge(letters[10])] + ids if lead else ids)
+            elif not lower and (not body or len(body.split()) > 1 or body != body.strip()):
+                odd.append(word)
+                fresh.append([])
             else:
                 rest.append((len(fresh), lead + space + body))
                 fresh.append([])
@@ -131,12 +151,7 @@ class WordCache:
             some = rest[at : at + 5000]
             for (n, _), ids in zip(some, self._whole([text for _, text in some]), strict=True):
                 fresh[n] = ids
-        first = len(self.starts) - 1
-        self.place.update(zip(words, range(first, first + len(fresh)), strict=True))
-        self.place.update(dict.fromkeys(odd, ODD))
-        ends = np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(fresh), np.uint32, int(ends[-1]))])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+        return fresh, odd
 
     def _words(self, text: str) -> list[str] | None:
         """Keys of a text's words; None if it holds a mark."""
@@ -187,7 +202,7 @@ class WordCache:
         return out
 
 
-def text_groups(texts: list[str | None], most_chars: int = 1_000_000):
+def text_groups(texts: list[str | None], most_chars: int = 300_000):
     """Runs of texts (null as empty) of at most so many characters, or one longer text: what is encoded at once."""
     group: list[str] = []
     size = 0
