@@ -18,8 +18,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from snapweave.llm.rows import released
+
 SHARE = 0.06
-LEAST_CHARS = 24  # shorter items occur by chance
+LEAST_CHARS = 24  # shorter items are searched without edits, as whole words
+LEAST_EXACT = 8  # still shorter ones are in any text: ``unsearched_items`` lists them
 BLOCK_CHARS = 4_000_000
 OTHER = re.compile(r"[\W_]+")
 _FOUND = "doc_id bigint, item_id bigint, distance int, budget int, ends int"
@@ -65,14 +68,16 @@ def myers(pattern: str, text: str, budget: int, masks: dict[str, int]) -> tuple[
 class Matcher:
     """Items of one block: their pieces in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float):
+    def __init__(self, items: list[tuple[int, str]], share: float, least: int = LEAST_CHARS):
         import ahocorasick
 
         self.items = []
         self.hits = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         for number, text in items:
-            budget = -int(-len(text) * share // 1)
+            budget = -int(-len(text) * share // 1) if len(text) >= least else 0
+            if len(text) < least:
+                text = f" {text} "  # between word borders
             masks: dict[str, int] = {}
             for k, char in enumerate(text):
                 masks[char] = masks.get(char, 0) | 1 << k
@@ -90,6 +95,7 @@ class Matcher:
         tried: dict[int, list[int]] = {}
         if not self.items or not text:
             return []
+        text = f" {text} "
         for end, (length, where) in self.hits.iter(text):
             for index, at in where:
                 _, item, budget, masks = self.items[index]
@@ -107,16 +113,18 @@ class Matcher:
                 got = myers(item, text[low:high], budget, masks)
                 if got and (index not in found or got[0] < found[index][0]):
                     found[index] = (got[0], low + got[1])
-        return [(self.items[k][0], d, self.items[k][2], e) for k, (d, e) in sorted(found.items())]
+        # Ends are told in the text as it was given, and without the border behind a short item.
+        spaces = [1 + self.items[k][1].endswith(" ") for k in sorted(found)]
+        return [(self.items[k][0], d, self.items[k][2], e - n) for n, (k, (d, e)) in zip(spaces, sorted(found.items()))]
 
 
 def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, streamed to the driver. Null, empty and too short items match nothing."""
+    """Items in blocks of bounded size, streamed to the driver. Null, empty and very short items match nothing."""
     block: list[tuple[int, str]] = []
     size = 0
     for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         text = plain(row["text"])
-        if len(text) < least:
+        if len(text) < min(least, LEAST_EXACT):
             continue
         block.append((row["item_id"], text))
         size += len(text)
@@ -127,6 +135,13 @@ def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, str]]]
         yield block
 
 
+def unsearched_items(benchmark: DataFrame) -> DataFrame:
+    """``item_id, reason`` of the items that ``find_leaks`` does not look for."""
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"(?U)[\W_]+", " "))
+    reason = F.when(F.length(text) == 0, "no letter or digit").otherwise("too short to be told from chance")
+    return benchmark.where(F.length(text) < LEAST_EXACT).select(F.col("item_id").cast("long"), reason.alias("reason"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST_CHARS) -> DataFrame:
     """``doc_id, item_id, distance, budget, ends`` (where the occurrence ends in the plain text), one row per
     document and item that it holds within the budget. Null text holds nothing; repeated rows give repeated rows."""
@@ -136,7 +151,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, leas
         sent = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, share)
+            matcher = Matcher(sent.value, share, least)
             for batch in batches:
                 rows = []
                 numbers = batch.column("doc_id").to_pylist()
@@ -148,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, leas
                     arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, _FOUND)
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(search), _FOUND)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], _FOUND)
 
@@ -160,10 +175,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, l
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, share)
+            matcher = Matcher(sent.value, share, least)
             for batch in batches:
                 good = [not matcher.find(plain(t)) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(good, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, schema)
+        docs = docs.mapInArrow(released(clean), schema)
     return docs

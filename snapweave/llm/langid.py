@@ -20,8 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from snapweave.llm.rows import released
+
 WINDOW, HIDDEN = 64, 8
-DOCS_PER_LANG, WINDOWS_PER_DOC, MOST_LANGS = 500, 4, 64
+DOCS_PER_LANG, WINDOWS_PER_DOC = 500, 4
+# Documents taken in all; with many languages each gets fewer, but at least LEAST_DOCS.
+MOST_DOCS, LEAST_DOCS, MOST_LANGS = 32_000, 20, 1_000
 STEPS, BATCH, RATE = 300, 192, 0.02
 CHUNK = 2048  # windows read at once
 UNKNOWN = "und"
@@ -200,23 +204,29 @@ def _cut_windows(count: int):
 
 
 def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, steps: int = STEPS) -> Network | None:
-    """A network for the (at most ``MOST_LANGS`` most frequent) languages of the rows outside the held-out fold.
+    """A network for the languages of the rows outside the held-out fold: all, or the ``MOST_LANGS`` with most documents.
 
     None if no row has a label and a letter.
     """
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & _has_letter())
     usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
-    # The hash of the last document taken, per language; only hashes move.
-    ranked = usable.select("lang", "hash").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
-    borders = ranked.where(F.col("n") <= docs_per_lang).groupBy("lang").agg(F.max("hash").alias("border"), F.count("*").alias("n"))
-    found = borders.orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
-    if not found:
+    counts = usable.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(MOST_LANGS).collect()
+    if not counts:
         return None
+    docs_per_lang = min(docs_per_lang, max(LEAST_DOCS, MOST_DOCS // len(counts)))
+    # The hash of the last document taken, per language. Only hashes move, and of a frequent language only so many of the
+    # smallest that there are surely enough.
+    top = F.lit(None).cast("double")
+    for row in counts:
+        top = F.when(F.col("lang") == row["lang"], F.lit(-(2.0**63) + 2.0**64 * min(1.0, 8 * docs_per_lang / row["docs"]))).otherwise(top)
+    hashes = usable.select("lang", "hash").where(F.col("hash").cast("double") <= top).distinct()
+    ranked = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
+    found = ranked.where(F.col("n") <= docs_per_lang).groupBy("lang").agg(F.max("hash").alias("border")).collect()
     border = F.lit(None).cast("long")
     for row in found:
         border = F.when(F.col("lang") == row["lang"], F.lit(row["border"])).otherwise(border)
-    cut = usable.where(F.col("hash") <= border).mapInArrow(_cut_windows(WINDOWS_PER_DOC), "lang string, hash bigint, windows array<binary>")
-    # At most MOST_LANGS * docs_per_lang * WINDOWS_PER_DOC windows come to the driver, repeated rows once.
+    cut = usable.where(F.col("hash") <= border).mapInArrow(released(_cut_windows(WINDOWS_PER_DOC)), "lang string, hash bigint, windows array<binary>")
+    # At most MOST_DOCS * WINDOWS_PER_DOC windows come to the driver, repeated rows once.
     rows = sorted(cut.dropDuplicates(["lang", "hash"]).collect(), key=lambda r: (r["lang"], r["hash"]))
     langs = sorted(r["lang"] for r in found)
     windows = np.array([np.frombuffer(w, np.uint8) for r in rows for w in r["windows"]])
@@ -261,11 +271,14 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
             )
 
     asked = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text", _has_letter().alias("readable"))
-    return asked.mapInArrow(label, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return asked.mapInArrow(released(label), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def keep_readable(docs: DataFrame, network: Network | None, least: float = 0.0) -> DataFrame:
-    """Rows whose language the network names, with at least that score; all columns as they are."""
+    """Rows whose language the network names, with at least that score; all columns as they are.
+
+    Without a network (nothing was labelled) no language can be told: every text with a letter stays.
+    """
     names, schema = docs.columns, docs.schema
     flag = "__readable__"
 
@@ -274,6 +287,8 @@ def keep_readable(docs: DataFrame, network: Network | None, least: float = 0.0)
             view = pa.RecordBatch.from_arrays([batch.column("text"), batch.column(flag)], names=["text", "readable"])
             found, scores = predict_batch(network, view)
             good = pa.array([name != UNKNOWN and score >= least for name, score in zip(found, scores, strict=True)], pa.bool_())
+            if network is None:
+                good = batch.column(flag)
             yield batch.select(names).filter(good)
 
-    return docs.withColumn(flag, _has_letter()).mapInArrow(keep, schema)
+    return docs.withColumn(flag, _has_letter()).mapInArrow(released(keep), schema)
