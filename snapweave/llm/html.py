@@ -61,20 +61,24 @@ NAME = re.compile(r"[A-Za-z]+|[^A-Za-z\s]+")
 
 
 class Element:
-    __slots__ = ("name", "words", "children", "digest")
+    """``words`` are the words of class, id and role, ``whole`` their names as they stand."""
 
-    def __init__(self, name: str, words: tuple[str, ...] = ()):
-        self.name, self.words, self.children = name, words, []
+    __slots__ = ("name", "words", "whole", "children", "digest")
+
+    def __init__(self, name: str, words: tuple[str, ...] = (), whole: tuple[str, ...] = ()):
+        self.name, self.words, self.whole, self.children = name, words, whole, []
         self.digest = ""
 
 
-def _words(attributes: str) -> tuple[str, ...]:
-    """Words of class, id and role."""
-    out = []
+def _words(attributes: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Words of class, id and role, and the names that they are parts of."""
+    out, whole = [], []
     for name, value in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
-            out += NAME.findall(entities.unescape(value.strip("\"'")).lower())
-    return tuple(out)
+            value = entities.unescape(value.strip("\"'")).lower()
+            out += NAME.findall(value)
+            whole += value.split()
+    return tuple(out), tuple(whole)
 
 
 def parse(text: str) -> Element:
@@ -113,7 +117,7 @@ def parse(text: str) -> Element:
                     break
                 if over not in INLINE and over not in CLOSES:
                     break
-            node = Element(name, _words(m[3]) if m[3] else ())
+            node = Element(name, *_words(m[3])) if m[3] else Element(name)
             open_[-1].children.append(node)
             if name in VOID:
                 continue
@@ -127,7 +131,28 @@ def parse(text: str) -> Element:
 
 
 def says_boilerplate(node: Element) -> bool:
-    return node.name in DROPPED or (node.name not in ("article", "main", "body", "html") and not BOILERPLATE.isdisjoint(node.words))
+    """Whether an element names itself no article: a part of a name is enough for a container, a paragraph or a word
+    inside one has to bear the whole name (``share-price`` is no ``share``)."""
+    if node.name in DROPPED:
+        return True
+    names = node.words if node.name in CONTAINERS else node.whole
+    return node.name not in ("article", "main", "body", "html") and not BOILERPLATE.isdisjoint(names)
+
+
+def text_sizes(root: Element) -> dict[int, int]:
+    """Characters of text in every subtree, by the element's identity."""
+    sizes: dict[int, int] = {}
+    stack = [(root, False)]
+    while stack:
+        node, ready = stack.pop()
+        if not ready:
+            stack.append((node, True))
+            stack += [(c, False) for c in node.children if isinstance(c, Element)]
+        elif node.name in RAW:
+            sizes[id(node)] = 0
+        else:
+            sizes[id(node)] = sum(sizes[id(c)] if isinstance(c, Element) else len(c.strip()) for c in node.children)
+    return sizes
 
 
 def _hash(node: Element) -> str:
@@ -161,12 +186,17 @@ def template_candidates(root: Element) -> list[str]:
     return sorted(found)
 
 
-def _has(root: Element, name: str) -> list[Element]:
+def _has(root: Element, name: str, sizes: dict[int, int] | None = None) -> list[Element]:
+    """Elements of a name outside what names itself boilerplate. With ``sizes``, a wrapper that only bears such a
+    name (``page has-sidebar``) is looked into if most of the page's text is inside."""
     found, stack = [], [root]
     while stack:
         node = stack.pop()
         for child in reversed(node.children):
-            if isinstance(child, Element) and not says_boilerplate(child):
+            if not isinstance(child, Element):
+                continue
+            wraps = sizes is not None and child.name not in DROPPED and 2 * sizes[id(child)] > sizes[id(root)]
+            if wraps or not says_boilerplate(child):
                 if child.name == name:
                     found.append(child)
                 else:
@@ -174,9 +204,17 @@ def _has(root: Element, name: str) -> list[Element]:
     return found
 
 
+def _tops(root: Element) -> list[Element]:
+    found = _has(root, "article") or _has(root, "main")
+    if not found:
+        sizes = text_sizes(root)
+        found = _has(root, "article", sizes) or _has(root, "main", sizes)
+    return found or [root]
+
+
 def main_text(root: Element, templates: frozenset[str]) -> str:
     """Text of the article(s) without boilerplate and templates: blocks in page order, white space as single spaces."""
-    tops = _has(root, "article") or _has(root, "main") or [root]
+    tops = _tops(root)
     blocks: list[str] = []
     line: list[str] = []
 
