@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from catalog.inputs import labels, snapshots, with_tables
-from catalog.model_queries import IN_TEST, IN_VAL, train_of
+from catalog.model_queries import IN_TEST, IN_VAL, NEAR_COLUMNS, NEAR_SQL, train_of
+from catalog.model_queries import scaled_sessions as near_sessions
 from catalog.registry import query, r, sr
 from snapweave.operators import prep, splits
 from snapweave.operators import tables as tab
 from snapweave.operators.aggregates import embedding_dim, length_percentile, session_meta, with_class_weight
 from snapweave.operators.information import neighbour_information
+from snapweave.operators.neighbours import nearest_neighbours
+from snapweave.operators.neighbours_lsh import approximate_neighbours, recall
 from snapweave.plans import boosting as bo
 from snapweave.plans import extra_trees as xt
 from snapweave.plans import kernel, recurrent, training
@@ -377,3 +382,86 @@ def m8_vectors(spark, sf):
     return padded.select(
         *KEYS, "label", "length", F.size(F.col("sequence")[0]).alias("width"), F.size("sequence").alias("steps"), zero.alias("padding_is_zero")
     )
+
+
+# --- folds of few users, values of models --------------------------------------------------------------------------
+
+FEW_USERS = ["Student_8", "Student_10", "Student_13"]
+
+
+@query(
+    "g6_folds_of_few_users",
+    with_tables(
+        f"""SELECT user_id, exercise_id, CAST(fold AS INTEGER) AS fold, CAST((SELECT count(DISTINCT user_id) FROM few) AS INTEGER) AS folds FROM few JOIN
+              (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) - 1 AS fold FROM few GROUP BY user_id) USING (user_id)""",
+        "true_labels",
+        extra={"few": f"SELECT * FROM true_labels WHERE user_id IN ({', '.join(repr(u) for u in FEW_USERS)})"},
+    ),
+)
+def g6_few(spark, sf):
+    """Fewer users than folds: one fold each."""
+    rows, k = splits.grouped_folds(labels(spark, sf).filter(F.col("user_id").isin(FEW_USERS)))
+    return rows.select(*KEYS, "fold", F.lit(k).alias("folds"))
+
+
+@query("m13_d8_importance_values")
+def m13_values(spark, sf):
+    """The ten features that the full forest of random cuts rests on most, with their shares."""
+    rows, names = session_rows(spark, sf)
+    forest = xt.fit_extra_trees(train_of(rows), COLUMNS, len(names), trees=100)
+    found = spark.createDataFrame(list(forest.importances().items()), "feature string, importance double")
+    return tab.top_n(found, "importance", 10, "feature")
+
+
+@query("m14_e11_model_scores")
+def m14_scores(spark, sf):
+    """Scores of the models on the test sessions at their usual settings; one that cannot be fitted is reported."""
+    rows, names = scaled_sessions(spark, sf)
+    train, test = train_of(rows), rows.filter("split = 'test'")
+    weighted = with_class_weight(train)
+    fits = {
+        "extra_trees": lambda: xt.fit_extra_trees(weighted, COLUMNS, len(names), weight="weight", trees=100),
+        "boosting": lambda: bo.fit_boosted(weighted, COLUMNS, len(names), weight="weight"),
+        "broken": lambda: bo.fit_boosted(weighted.limit(0), COLUMNS, len(names)),
+    }
+    parts, status = [], []
+    for name, fit in fits.items():
+        try:
+            shown = training.named_predictions(fit().predict(test), names)
+        except ValueError as problem:
+            status.append((name, f"failed: {problem}"))
+            continue
+        status.append((name, "fitted"))
+        parts.append(shown.select(*KEYS, F.lit(name).alias("model"), F.col("label").alias("y_true"), F.col("pred_label").alias("y_pred")))
+    ready = training.assemble(rows, COLUMNS)
+    linear = training.logistic_regression(train.count()).fit(train_of(ready))
+    status.append(("logistic", "fitted"))
+    shown = training.predictions(linear, ready.filter("split = 'test'"), names)
+    parts.append(shown.select(*KEYS, F.lit("logistic").alias("model"), F.col("label").alias("y_true"), F.col("pred_label").alias("y_pred")))
+    scores = training.compare_models(materialize(reduce(lambda a, b: a.unionByName(b), parts), "predicted"))
+    return spark.createDataFrame(status, "model string, status string").join(scores, "model", "left")
+
+
+# --- J10: approximate neighbours -----------------------------------------------------------------------------------
+
+
+def _near_both(spark, sf):
+    rows = materialize(near_sessions(spark, sf), "scaled")
+    test, train = rows.filter("split = 'test'"), train_of(rows)
+    return approximate_neighbours(test, train, NEAR_COLUMNS), nearest_neighbours(test, train, NEAR_COLUMNS)
+
+
+@query(
+    "j10_approximate_recall",
+    with_tables("SELECT CAST(count(*) AS BIGINT) AS wanted, TRUE AS recall_of_nine_tenths FROM ranked", "snaps", "true_labels", extra=NEAR_SQL),
+)
+def j10_recall(spark, sf):
+    """Neighbours by random-projection buckets against the exact ones."""
+    near, true = _near_both(spark, sf)
+    return recall(near, true).select("wanted", (F.col("recall") >= 0.9).alias("recall_of_nine_tenths"))
+
+
+@query("j10_approximate_neighbours")
+def j10_approximate(spark, sf):
+    rows = materialize(near_sessions(spark, sf), "scaled")
+    return approximate_neighbours(rows.filter("split = 'test'"), train_of(rows), NEAR_COLUMNS)

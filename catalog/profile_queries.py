@@ -305,7 +305,7 @@ for _name, _template, _model in (("b1_s7_prompts_long", pr.LONG, "some-model"),
         with_tables("SELECT session_key, user_id, exercise_id, prompt_hash, length(prompt) AS chars FROM hashed", *PROMPT_TABLES, extra=prompt_ctes(_template)),
     )
     def prompt_query(spark, sf, model=_model):
-        built = pr.build_prompts(prompt_input(spark, sf), model)
+        built = pr.build_prompts(prompt_input(spark, sf), model, counted=snapshots(spark, sf, chars=False))
         return built.select("session_key", *KEYS, "prompt_hash", F.length("prompt").cast("long").alias("chars"))
 
 
@@ -329,7 +329,7 @@ def stub_scorer(config):
 
 
 def stub_prompts(spark, sf):
-    return pr.build_prompts(prompt_input(spark, sf), CONFIG.model)
+    return pr.build_prompts(prompt_input(spark, sf), CONFIG.model, counted=snapshots(spark, sf, chars=False))
 
 
 def stub_cache(prompts):

@@ -1,12 +1,15 @@
-"""Bucketed cache, stateful stream, sketches kept per day and incremental components."""
+"""Bucketed cache, stateful stream, sketches kept per day, incremental components and workbooks as a data source."""
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-from catalog.inputs import snapshots, table, with_tables
+from catalog.inputs import rationale, snapshots, table, with_tables
 from catalog.model_queries import IN_TEST, train_of
-from catalog.profile_queries import AT, CONFIG, PLAIN, plain_prompts, stub_scorer
+from catalog.profile_queries import AT, CONFIG, PLAIN, plain_prompts, stub_scorer, workbook_bytes
 from catalog.registry import query, r, sr
 from snapweave.operators import aggregates as agg
 from snapweave.operators import sketches as sk
@@ -15,8 +18,9 @@ from snapweave.plans import scoring as sc
 from snapweave.plans import training
 from snapweave.plans.incremental_pca import fit_incremental_pca
 from snapweave.runtime import materialize, scratch_path
-from snapweave.schema import KEYS
+from snapweave.schema import KEYS, RATIONALE_SCHEMA
 from snapweave.sources.bucketed_cache import BucketedCache
+from snapweave.sources.workbooks import WorkbookSource
 from snapweave.streaming.once import score_stream_once
 
 # --- cache in buckets ------------------------------------------------------------------------------------------
@@ -166,3 +170,41 @@ def f14_scores(spark, sf):
         model = fit_incremental_pca(train_of(rows), column, dim)
         rows = model.apply(rows, column, f"{column}_pca")
     return rows.select("event_id", *KEYS, *[f"{c}_pca" for c in EMBEDDINGS])
+
+
+# --- workbooks as a data source ------------------------------------------------------------------------------------------
+
+
+@query("io3_workbook_source", with_tables("SELECT user_id, exercise_id, rationale, sess_stats, evidence FROM rationale", "rationale"))
+def io3_source(spark, sf):
+    """The notes written as workbooks, a few hundred rows each, and read back by ``format("workbooks")``."""
+    folder = scratch_path(spark, "books")
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(inner, recursive=True)
+        for batch in batches:
+            for at in range(0, len(batch), 300):
+                name = f"{inner}/{uuid.uuid4().hex}"
+                with system.open_output_stream(f"{name}.part") as out:
+                    out.write(workbook_bytes(batch.iloc[at : at + 300]))
+                yield pd.DataFrame({"name": [name]})
+
+    # Only books that a finished task has named are read: a task that was run twice leaves the others as parts.
+    books = materialize(rationale(spark, sf).mapInPandas(write, "name string"), "books")
+
+    def publish(batches):
+        from pyarrow import fs
+
+        system = fs.FileSystem.from_uri(folder)[0] if "://" in folder else fs.LocalFileSystem()
+        for batch in batches:
+            for name in batch["name"]:
+                if system.get_file_info(f"{name}.xlsx").type == fs.FileType.NotFound:
+                    system.move(f"{name}.part", f"{name}.xlsx")
+            yield batch
+
+    materialize(books.mapInPandas(publish, "name string"), "published")
+    spark.dataSource.register(WorkbookSource)
+    return spark.read.format("workbooks").schema(RATIONALE_SCHEMA).load(folder)

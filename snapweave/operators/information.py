@@ -39,9 +39,9 @@ def label_tally(df: DataFrame, columns: Sequence[str], label: str = "label") ->
 def with_radius(tally: DataFrame, k: int = 3, block: int = BLOCK) -> DataFrame:
     """Add ``k`` (neighbours there are, at most the wanted number) and ``r``, the distance to the last of them.
 
-    A window reads a block of the order and the k values before and after it.
+    A window reads a block of the order and the k values before and after it. ``tally`` is read several times.
     """
-    numbered = number_by_slices(tally, ["feature", "label"], [F.col("value")])
+    numbered = number_by_slices(tally, ["feature", "label"], [F.col("value")], written=True)
     at = F.expr(f"{POS} div {block}")
     near = F.array_distinct(F.array(F.expr(f"({POS} - {k}) div {block}"), at, F.expr(f"({POS} + {k}) div {block}")))
     spread = numbered.withColumn("home", at).withColumn("part", F.explode(near)).filter("part >= 0")

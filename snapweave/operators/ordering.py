@@ -74,13 +74,16 @@ class Huge:
         return max(2, -(-self.rows // SLICE_ROWS))
 
 
-def hot_sessions(df: DataFrame, keys: Sequence[str] = KEYS, hot_rows: int | None = HOT_ROWS) -> Huge | None:
-    """The sessions above ``hot_rows`` rows, or None. Needs the key columns only; where ``df`` is a join, the
-    join runs for it too. ``hot_rows=None`` skips the look, for input whose sessions are known to be small.
+def hot_sessions(
+    df: DataFrame, keys: Sequence[str] = KEYS, hot_rows: int | None = HOT_ROWS, counted: DataFrame | None = None
+) -> Huge | None:
+    """The sessions above ``hot_rows`` rows, or None. Needs the key columns only. Where ``df`` is a join that
+    repeats no row, hand over the table before it as ``counted``, so that the join does not run for this look.
+    ``hot_rows=None`` skips the look, for input whose sessions are known to be small.
     """
     if hot_rows is None:
         return None
-    sizes = df.groupBy(*keys).count()
+    sizes = (df if counted is None else counted).groupBy(*keys).count()
     large = materialize(sizes.filter(F.col("count") > hot_rows), "hot-sessions")
     found = large.agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("rows")).first()
     if not found["n"]:
@@ -90,10 +93,10 @@ def hot_sessions(df: DataFrame, keys: Sequence[str] = KEYS, hot_rows: int | None
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str] = KEYS, hot_rows: int | None = HOT_ROWS
+    df: DataFrame, keys: Sequence[str] = KEYS, hot_rows: int | None = HOT_ROWS, counted: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None, Huge | None]:
     """(rows of ordinary sessions, rows of huge sessions or None, which those are)."""
-    hot = hot_sessions(df, keys, hot_rows)
+    hot = hot_sessions(df, keys, hot_rows, counted)
     if hot is None:
         return df, None, None
     keys = list(keys)
@@ -124,23 +127,31 @@ def number_by_window(
     return out.drop(*names).withColumnsRenamed({new: c for c, new in names.items()})
 
 
+def _ready_to_slice(df: DataFrame, slices: int | None, written: bool) -> tuple[DataFrame, int]:
+    """The rows, from files, and the number of slices."""
+    if not written:
+        df = materialize(df, "unsliced")
+    fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df, slices or max(fewest, -(-df.count() // SLICE_ROWS))
+
+
 def number_by_slices(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     lags: Sequence[str] = (),
     slices: int | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Same columns as :func:`number_by_window`, with no task that holds a whole group.
 
     ``keys`` may be empty: then the whole table is numbered in one global order. Without a
-    number of ``slices`` the rows are counted, so that a slice stays of bounded size. The
-    sliced rows are written once, because range bounds come from a sample and a second
-    run of the same plan could cut elsewhere.
+    number of ``slices`` the rows are counted, so that a slice stays of bounded size. The input is
+    written before it is counted and sampled, unless it is ``written`` already. The sliced rows are
+    written too, because range bounds come from a sample and a second run of the same plan could cut elsewhere.
     """
     keys = list(keys)
-    spark = df.sparkSession
-    slices = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
+    df, slices = _ready_to_slice(df, slices, written)
     cut = (
         df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
         .withColumn("_slice", F.spark_partition_id())
@@ -214,26 +225,28 @@ def number_rows(
     lags: Sequence[str] = (),
     fill: Sequence[str] = (),
     hot_rows: int | None = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``_pos`` (0-based) and ``_n``; per lag column ``<c>__prev``; per fill column ``<c>__mean`` and
     the session mean where the value is missing (applied before the lag, never to the order).
     Rows without a key are left out."""
     order = list(order or model_order(df))
-    usual, huge, hot = split_hot(with_keys_present(df, keys), keys, hot_rows)
+    usual, huge, hot = split_hot(with_keys_present(df, keys), keys, hot_rows, counted)
     out = number_by_window(usual, keys, order, lags, fill)
     if huge is None:
         return out
     return out.unionByName(number_huge(huge, keys, order, hot.slices, lags, fill))
 
 
-def cumulate_by_slices(df: DataFrame, keys: Sequence[str], order: str, weight: str, slices: int | None = None) -> DataFrame:
+def cumulate_by_slices(
+    df: DataFrame, keys: Sequence[str], order: str, weight: str, slices: int | None = None, written: bool = False
+) -> DataFrame:
     """Add ``_before`` (weights of the group's rows before this one) and ``_total``, with no task that holds a group.
 
     ``order`` must not repeat within a group, so that a slice border can fall between any two rows.
     """
     keys = list(keys)
-    spark = df.sparkSession
-    slices = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
+    df, slices = _ready_to_slice(df, slices, written)
     cut = df.repartitionByRange(slices, *keys, order).withColumn("_slice", F.spark_partition_id())
     cut = materialize(cut, "slices")
     within = Window.partitionBy(*keys, "_slice").orderBy(order)

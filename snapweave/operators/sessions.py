@@ -42,9 +42,10 @@ def downsample(
     order: Sequence[Column] | None = None,
     keys: Sequence[str] = KEYS,
     hot_rows: int | None = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """At most ``m`` evenly spaced rows per session; ``_pos`` and ``_n`` are those before the cut."""
-    numbered = number_rows(df, keys, order or prompt_order(df), hot_rows=hot_rows)
+    numbered = number_rows(df, keys, order or prompt_order(df), hot_rows=hot_rows, counted=counted)
     return numbered.filter(is_kept_position(F.col(POS), F.col(SIZE), m))
 
 

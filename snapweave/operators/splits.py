@@ -146,3 +146,11 @@ def balanced_user_folds(
 
 def fold_count(users: int, wanted: int = 5) -> int:
     return min(wanted, users)
+
+
+def grouped_folds(df: DataFrame, wanted: int = 5, user: str = "user_id", out: str = "fold") -> tuple[DataFrame, int]:
+    """Balanced folds that never split a user, as many as there are users but at most ``wanted``; none is empty."""
+    k = fold_count(df.filter(F.col(user).isNotNull()).select(user).distinct().count(), wanted)
+    if k < 2:
+        raise ValueError("folds by user need two users")
+    return balanced_user_folds(df.drop(out), k, user, out), k

@@ -65,6 +65,7 @@ def snapshot_blocks(
     order: Sequence[Column] | None = None,
     keys: Sequence[str] = KEYS,
     hot_rows: int | None = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Per session: the text of its kept snapshots, first-row notes and column roles.
 
@@ -79,7 +80,7 @@ def snapshot_blocks(
     order = list(order or prompt_order(df))
     sorting = [c for c in ("seconds_from_start", "snapshot_time", "event_id") if c in df.columns]
     slim = df.select(*dict.fromkeys([*keys, *columns, *notes, *sorting]), code.alias("_code"))
-    kept = downsample(slim, max_snapshots, order, keys, hot_rows)
+    kept = downsample(slim, max_snapshots, order, keys, hot_rows, counted)
 
     values = F.struct(*[format_value(c, types[c]).alias(c) for c in columns]) if columns else None
     clock = F.lit(MISSING)
@@ -151,10 +152,14 @@ def build_prompts(
     labels=None,
     order: Sequence[Column] | None = None,
     hot_rows: int | None = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """session_key, keys, prompt and prompt_hash, one row per session."""
+    """session_key, keys, prompt and prompt_hash, one row per session.
+
+    ``counted``: the snapshot table before any join, to look for huge sessions in (see ``hot_sessions``).
+    """
     template = template or template_for(model)
     labels_text = label_options_text(labels or label_rows(), template.with_descriptions)
-    blocks = snapshot_blocks(df, template.max_snapshots, order, KEYS, hot_rows)
+    blocks = snapshot_blocks(df, template.max_snapshots, order, KEYS, hot_rows, counted)
     prompts = blocks.select(session_key().alias("session_key"), *KEYS, prompt_text(template, labels_text).alias("prompt"))
     return prompts.withColumn("prompt_hash", short_hash(F.col("prompt")))

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from snapweave.functions.vectors import clean_embedding
 from snapweave.operators.evaluation import accuracy, class_scores, macro_scores, pair_counts
 from snapweave.operators.prep import choose_by_information, fit_median_fill
+from snapweave.operators.splits import grouped_folds
 from snapweave.schema import KEYS, SEARCHED_COLUMN_COUNTS
 
 MAX_TREE_DEPTH = 30  # Spark's limit; stands for "no limit"
@@ -369,12 +370,17 @@ def grouped_search(
     pipeline: Pipeline,
     space: Mapping[Param, Sequence],
     n: int,
-    folds: int = 5,
+    folds: int | None = 5,
     seed: int = 42,
     parallelism: int = 2,
     fold: str = "fold",
 ) -> CrossValidatorModel:
-    """Random search by macro-F1 over folds that never split a user; refitted on all train rows."""
+    """Random search by macro-F1 over folds that never split a user; refitted on all train rows.
+
+    With ``folds`` None the folds are made here: one per user, at most five, none empty.
+    """
+    if folds is None:
+        train, folds = grouped_folds(train, out=fold)
     search = CrossValidator(
         estimator=pipeline,
         estimatorParamMaps=drawn_param_maps(space, n, seed),
