@@ -260,15 +260,16 @@ class Manifest:
 def build_manifest(rows: DataFrame, group: Column, order: Sequence[Column], leaf: str) -> Manifest:
     """Trees over the binary column ``leaf``, per value of ``group`` (text; null is a group, and the first) in ``order``.
 
-    Rows are numbered in slices of their order, so a group of any share of the rows is spread out.
+    Rows are numbered in slices of their order, so a group of any share of the rows is spread out. ``rows`` is
+    read three times: hand over what is written.
     """
     named = rows.withColumn("grp", F.coalesce(F.concat(F.lit("="), group), F.lit("")))
-    numbered = number_by_slices(named, ["grp"], order).withColumnsRenamed({POS: "pos", SIZE: "size"})
+    numbered = number_by_slices(named, ["grp"], order, written=True).withColumnsRenamed({POS: "pos", SIZE: "size"})
     numbered = materialize(numbered, "leaves")
     bands = build_bands(numbered.withColumn("node", F.col(leaf)))
     if not bands:
         return Manifest(numbered, [], [], None)
-    names = number_by_slices(finished(bands), [], [F.col("grp")]).withColumnsRenamed({POS: "pos", SIZE: "size"})
+    names = number_by_slices(finished(bands), [], [F.col("grp")], written=True).withColumnsRenamed({POS: "pos", SIZE: "size"})
     names = materialize(names.select("grp", "pos", "size", F.col("root").alias("node")), "groups")
     return Manifest(numbered, bands, build_bands(names.withColumn("grp", F.lit(""))), names)
 
