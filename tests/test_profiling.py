@@ -207,3 +207,43 @@ def test_workbooks(spark, tmp_path):
         (tmp_path / f"book{i}.xlsx").write_bytes(workbook_bytes(rows))
     got = {tuple(r) for r in workbooks.read_workbooks(spark, str(tmp_path)).collect()}
     assert got == {("u0", 0, "a", None, None), ("u1", 1, "a", None, None), ("ü<&>", 3, None, None, None)}
+
+
+def folders_with_texts(spark):
+    """Written intermediate results that hold a prompt column."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from snapweave.runtime import shared_folder
+
+    names = (next(f.glob("*.parquet"), None) for f in Path(shared_folder(spark), "snapweave").iterdir())
+    return {n.parent for n in names if n is not None and "prompt" in pq.read_schema(n).names}
+
+
+def test_prompt_texts_are_written_once_and_never_shuffled(spark, prompts):
+    before = folders_with_texts(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        config = sc.ScorerConfig("stub", "m")
+        cache = sc.cache_rows(sc.score_sessions(prompts.limit(2), answers.read_cache(spark, None), good, config), dt.datetime(2024, 1, 1))
+        rows = sc.score_sessions(sc.written_prompts(prompts), cache, good, config, keep_prompt=False)
+        assert "prompt" not in rows.columns and sc.log_rows(rows, dt.datetime(2024, 1, 1)).filter("prompt IS NULL").count() == 8
+        assert rows.filter("cached").count() == 2 and rows.filter("error IS NOT NULL").count() == 1
+        assert len(folders_with_texts(spark) - before) == 3  # two prompts and their answers for the cache, all prompts once
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_code_is_cut_and_packed_before_it_moves(spark):
+    from snapweave.plans.prompts import pack_code
+
+    codes = ["é" * 9000, "", None, "line\n" * 400]
+    rows = [("u1", 1, float(i), i, c) for i, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, "user_id string, exercise_id int, seconds_from_start double, event_id int, code_snapshot string")
+    packed = pack_code(df)
+    assert dict(packed.dtypes)["code_snapshot"] == "binary"
+    assert max(len(r[0]) for r in packed.select("code_snapshot").collect()) < 300
+    text = snapshot_blocks(packed).first()["snapshots_text"]
+    assert text == snapshot_blocks(df).first()["snapshots_text"]
+    assert "é" * 2500 + "\n[the rest" in text and "é" * 2501 not in text and "line\n" * 400 in text
