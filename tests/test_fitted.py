@@ -275,3 +275,18 @@ def test_neighbour_information(spark, block, monkeypatch):
     assert got == {c: pytest.approx(plain_information(v, y), abs=1e-9) for c, v in data.items()}
     assert information.choose_by_neighbours(df, list(data), 1) == ["close"]
     assert information.neighbour_information(df.limit(0), list(data)).collect() == []
+
+
+def test_forests_lie_in_files_and_not_on_the_driver(table):
+    forest = xt.fit_extra_trees(table, COLUMNS, 3, trees=6, depth=3)
+    held = [v for v in vars(forest).values() if isinstance(v, (list, tuple, dict, np.ndarray)) and v != forest.columns]
+    assert not held and forest.size == 6
+    nodes = forest.split_table(table.sparkSession).groupBy("tree").count().collect()
+    assert {r["tree"]: r["count"] for r in nodes} == {t: len(names) for t, names in enumerate(forest.names)}
+
+
+def test_forests_of_any_size_predict(table, monkeypatch):
+    monkeypatch.setattr(xt, "MOST_NODES", 3, raising=False)  # was: an error above that many nodes
+    forest = xt.fit_extra_trees(table, COLUMNS, 3, trees=4)
+    assert forest.predict(table).count() == table.count()
+    assert forest.predict(table.limit(0)).collect() == []
