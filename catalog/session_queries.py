@@ -37,7 +37,7 @@ def io1(spark, sf):
     path = scratch_path(spark, "csv")
     # Columns in another order and the row numbers that a spreadsheet program puts first.
     turned = source.select(F.col("event_id").alias("Unnamed: 0"), *reversed(source.columns))
-    files.write_csv(turned, path)
+    files.write_csv(turned, path, compression="gzip")  # each snapshot repeats its whole text
     back = files.read_snapshots(spark, path, source.schema)
     return back.select(
         *EVENT,

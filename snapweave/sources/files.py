@@ -121,8 +121,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*names, "_file").withColumn("model", model_of_file(F.col("_file"))).drop("_file")
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).options(header=True, quoteAll=True, escape='"', emptyValue="").csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
+    """With ``compression`` (``gzip``) the files get that ending, by which :func:`read_csv` knows it."""
+    df.write.mode(mode).options(header=True, quoteAll=True, escape='"', emptyValue="", compression=compression).csv(path)
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
