@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from catalog.inputs import labels, snapshots, with_tables
+from catalog.inputs import labels, snapshots, with_embeddings, with_tables
 from catalog.model_queries import IN_TEST, IN_VAL, NEAR_COLUMNS, NEAR_SQL, train_of
 from catalog.model_queries import scaled_sessions as near_sessions
 from catalog.registry import query, r, sr
@@ -319,6 +319,9 @@ def f10_neighbours(spark, sf):
 NUMBERS = ["seconds_from_start", "saves_before_snapshot", "keystrokes_before_snapshot", "executes_before_snapshot", "task_code_cosine"]
 CATEGORIES = ["event_type", "exercise_type"]
 COMPONENTS = 16
+EVENT = ["event_id", *KEYS]
+ORDER = ["snapshot_sequence_num"]
+PARTS = [*NUMBERS, *CATEGORIES, "code_embedding", "task_embedding"]
 
 
 def sequence_frame(spark, sf):
@@ -327,7 +330,9 @@ def sequence_frame(spark, sf):
     Everything is fitted on the training rows. A fifth of the training users, by hash, is for stopping; if that
     would lose a class from training, sessions are drawn by class instead.
     """
-    rows = tab.drop_unlabelled(tab.attach(snapshots(spark, sf, chars=False, embeddings=True), labels(spark, sf)))
+    # Labels meet the rows before these get their embeddings, and only what the sequences are made of is written.
+    rows = tab.drop_unlabelled(tab.attach(snapshots(spark, sf, chars=False), labels(spark, sf)))
+    rows = with_embeddings(spark, sf, rows).select(*EVENT, "label", *ORDER, *PARTS)
     rows = materialize(splits.train_validation(splits.split_by_user(rows)), "split")
     rows = prep.fit_mean_fill(train_of(rows), NUMBERS).apply(rows)
     parts = list(NUMBERS)
@@ -337,7 +342,8 @@ def sequence_frame(spark, sf):
         rows = training.apply_embedding_pca(rows, column, dim, model).withColumn(f"{column}_v", array_to_vector(f"{column}_pca"))
         parts.append(f"{column}_v")
     rows = training.one_hot(train_of(rows), CATEGORIES).transform(rows)
-    vectors = materialize(training.assemble(rows, [*parts, *[f"{c}_onehot" for c in CATEGORIES]]), "vectors")
+    vectors = training.assemble(rows, [*parts, *[f"{c}_onehot" for c in CATEGORIES]])
+    vectors = materialize(vectors.select(*EVENT, "label", "split", *ORDER, "features"), "vectors")
     scaled = training.scale_vectors(train_of(vectors), "features").transform(vectors)
     scaled = scaled.withColumn("v", vector_to_array("features_scaled"))
     width = scaled.agg(F.max(F.size("v"))).first()[0]
