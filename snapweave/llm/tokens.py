@@ -12,13 +12,17 @@ import gc
 import json
 import os
 import re
+import sys
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import chain, repeat
+from types import ModuleType
 
 import numpy as np
 
+from snapweave.llm.rows import give_back
+
 # Words kept per worker, some 200 bytes each, in two generations: when the newer one holds half of
 # them it becomes the older one, and what was not used since the last change goes.
 CACHED_WORDS = 600_000
@@ -38,7 +42,19 @@ MARK, FIRST = "\ue000", "\ue001"
 ODD = 0  # place of keys with white space that can be cut in more than one way
 
 
-class WordCache:
+def _shelf() -> dict:
+    """What a process keeps between tasks. The package travels with every task by value, and reading a task sets the
+    variables of its classes anew; a module of the process stays as it is and never travels."""
+    return vars(sys.modules.setdefault("_snapweave_shelf", ModuleType("_snapweave_shelf")))
+
+
+class _Lender(type):
+    @property
+    def _kept(cls) -> tuple[str, WordCache] | None:
+        return _shelf().get("cache")
+
+
+class WordCache(metaclass=_Lender):
     """Ids of texts by one vocabulary file. Special-token strings inside a text are ordinary text.
 
     A text is cut at its spaces and line breaks, and before a comma or full stop that follows a
@@ -61,28 +77,29 @@ class WordCache:
         self.apart = re.compile(r"[,.](?<=[A-Za-zÀ-ÖØ-öø-ÿ][,.])(?=[ \n]|\Z)").sub
         self._reset()
 
-    _kept: tuple[str, WordCache] | None = None
-    _timer: threading.Timer | None = None
-
     @classmethod
     @contextmanager
     def lent(cls, path: str) -> Iterator[WordCache]:
         """The worker's cache for a vocabulary; freed when no task has asked for it within ``IDLE_SECONDS``."""
-        if cls._timer is not None:
-            cls._timer.cancel()
-        kept, cls._kept = cls._kept, None
+        shelf = _shelf()
+        timer = shelf.pop("timer", None)
+        if timer is not None:
+            timer.cancel()
+        kept = shelf.pop("cache", None)
         cache = kept[1] if kept is not None and kept[0] == path else cls(path)
+        del kept
         try:
             yield cache
         finally:
-            cls._kept = (path, cache)
-            cls._timer = threading.Timer(IDLE_SECONDS, cls.free)
-            cls._timer.daemon = True
-            cls._timer.start()
+            shelf["cache"] = path, cache
+            shelf["timer"] = threading.Timer(IDLE_SECONDS, cls.free)
+            shelf["timer"].daemon = True
+            shelf["timer"].start()
 
     @classmethod
     def free(cls) -> None:
-        cls._kept = None
+        if _shelf().pop("cache", None) is not None:
+            give_back()
 
     def _reset(self) -> None:
         self.older: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, np.zeros(0, np.uint32), np.zeros(2, np.int64))
