@@ -2,16 +2,14 @@
 
 Byte-pair merges never cross a pre-token, so the ids of a text are the ids of its pre-tokens
 one after the other. Words repeat; ``WordCache`` asks the library only for those it
-does not hold and looks the others up. Texts whose white space could be cut in more than
+does not hold and looks the others up. Arrow cuts many texts at once and finds their distinct words. Texts whose white space could be cut in more than
 one way go to the library whole.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
-import re
 import sys
 import threading
 from collections.abc import Iterator
@@ -20,12 +18,14 @@ from itertools import chain, repeat
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from snapweave.llm.rows import give_back
 
 # Words kept per worker, some 200 bytes each, in two generations: when the newer one holds half of
 # them it becomes the older one, and what was not used since the last change goes.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1000000
 # After its last task a worker keeps them for so many seconds, for the next task of the same stage.
 IDLE_SECONDS = 3.0
 
@@ -39,7 +39,37 @@ def _byte_letters() -> dict[int, str]:
 
 # Marks in front of a key; a text that holds one goes to the library whole.
 MARK, FIRST = "\ue000", "\ue001"
-ODD = 0  # place of keys with white space that can be cut in more than one way
+# Letters up to U+017F without U+0130, whose small letter is two; punctuation that ends a word after a letter.
+LETTERS = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u017f"
+APART = rf"([{LETTERS}])([!-&(-/:-@\[-`{{-~]+)([ \n]|\z)"
+JOINED_BYTES = 60_000  # of new words that the library gets as one text
+
+
+def _large(text: str | None) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
+
+
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _matching(words: pa.Array, pattern: str) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(words, pattern), False).to_numpy(zero_copy_only=False)
+
+
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, and how many each has."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids at these places one after the other, and how many each has."""
+    begins = starts[places]
+    lengths = starts[places + 1] - begins
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(begins - ends + lengths, lengths) + np.arange(total)], lengths
 
 
 def _shelf() -> dict:
@@ -57,7 +87,7 @@ class _Lender(type):
 class WordCache(metaclass=_Lender):
     """Ids of texts by one vocabulary file. Special-token strings inside a text are ordinary text.
 
-    A text is cut at its spaces and line breaks, and before a comma or full stop that follows a
+    A text is cut at its spaces and line breaks, and before punctuation (but an apostrophe) that follows a
     letter and ends a word. Where white space counts (no word-end marker in the vocabulary), a key
     stands for the word with the space before it; with a line break in front for the break and the
     word; with ``FIRST`` for the word that starts a text; with ``MARK`` for what was cut off a word.
@@ -69,12 +99,13 @@ class WordCache(metaclass=_Lender):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.merge = self.tokenizer.model.tokenize
         self.limit = cached_words
         with open(path, encoding="utf-8") as file:
             self.drops_space = bool(json.load(file)["model"].get("end_of_word_suffix"))
-        self.letters = _byte_letters()
-        self.apart = re.compile(r"[,.](?<=[A-Za-zÀ-ÖØ-öø-ÿ][,.])(?=[ \n]|\Z)").sub
+        letters, vocabulary = _byte_letters(), self.tokenizer.get_vocab()
+        self.border = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word, or start one after a space
+        self.border[[n for t, n in vocabulary.items() if (t.endswith("</w>") if self.drops_space else t.startswith(letters[32]))]] = True
+        self.line_break = vocabulary.get(letters[10], -1)
         self._reset()
 
     @classmethod
@@ -102,116 +133,127 @@ class WordCache(metaclass=_Lender):
             give_back()
 
     def _reset(self) -> None:
-        self.older: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, np.zeros(0, np.uint32), np.zeros(2, np.int64))
+        self.older: tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray] = ({}, np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool))
         self._begin()
 
     def _begin(self) -> None:
         """An empty newer generation."""
         self.place: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(2, np.int64)  # the odd place is empty
+        self.starts = np.zeros(1, np.int64)
+        self.odd = np.zeros(0, bool)  # keys with white space that can be cut in more than one way
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add(self, words: list[str]) -> None:
         """Ids of words that the newer generation lacks: from the older one, else from the library."""
-        place, flat, starts = self.older
+        place, flat, starts, odd = self.older
         known = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-        kept, fresh = np.flatnonzero(known >= 0), np.flatnonzero(known < 0).tolist()
-        lengths = starts[known[kept] + 1] - starts[known[kept]]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = flat[np.repeat(starts[known[kept]] - ends[:-1], lengths) + np.arange(int(ends[-1]))]
-        self._append([words[i] for i in kept.tolist()], lengths, ids)
-        self.place.update(dict.fromkeys([words[i] for i in kept[known[kept] == ODD].tolist()], ODD))
-        if fresh:
-            found, odd = self._encoded([words[i] for i in fresh])
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self._append([words[i] for i in fresh], lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())))
-            self.place.update(dict.fromkeys(odd, ODD))
-
-    def _append(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        first = len(self.starts) - 1
+        kept, fresh = np.flatnonzero(known >= 0), np.flatnonzero(known < 0)
+        if len(kept):
+            self._append([words[i] for i in kept.tolist()], *_gathered(flat, starts, known[kept]), odd[known[kept]])
+        if len(fresh):
+            new = [words[i] for i in fresh.tolist()]
+            self._append(new, *self._encoded(pa.array(new, pa.large_string())))
+
+    def _append(self, words: list[str], ids: np.ndarray, lengths: np.ndarray, odd: np.ndarray) -> None:
+        first = len(self.odd)
         self.place.update(zip(words, range(first, first + len(words)), strict=True))
         self.flat = np.concatenate([self.flat, ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-
-    def _encoded(self, words: list[str]) -> tuple[list[list[int]], list[str]]:
-        """Ids of new words, and the odd ones among them. Letters up to U+017F are one pre-token and need no normal
-        form but lower case: straight to the merges."""
-        merge, letters, lower, fresh, rest, odd = self.merge, self.letters, self.drops_space, [], [], []
-        before = "" if lower else letters[32]
-        for word in words:
-            if word.isascii() and word.isalpha():
-                fresh.append([t.id for t in merge(before + (word.lower() if lower else word))])
+        self.odd = np.concatenate([self.odd, odd])
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new words one after the other, how many each has, and which words are odd. Words of letters up to U+017F
+        are one pre-token and need no normal form but lower case: the library gets many of them as one text."""
+        odd = np.zeros(len(words), bool)
+        plain = _matching(words, rf"\A[{LETTERS}]+\z")
+        parts = list(self._joined(words, np.flatnonzero(plain), " "))
+        if not self.drops_space:
+            led = _matching(words, rf"\A[\n{FIRST}{MARK}][{LETTERS}]+\z")
+            bare = led & ~_matching(words, r"\A\n")
+            parts += self._joined(pc.utf8_slice_codeunits(words, 1), np.flatnonzero(led), "\n", bare)
+            plain |= led
+        rest: list[tuple[int, str]] = []
+        for i, word in zip(np.flatnonzero(~plain).tolist(), _strings(words.filter(pa.array(~plain))), strict=True):
+            if self.drops_space:
+                rest.append((i, word))
                 continue
             head = word[:1]
-            if lower:
-                lead, body, space = "", word, ""
-            elif head == "\n":
-                lead, body, space = "\n", word[1:], ""
-            elif head in (FIRST, MARK):
-                lead, body, space = "", word[1:], ""
-            else:
-                lead, body, space = "", word, " "
-            if body.isalpha() and max(body) < "\u0180" and "\u0130" not in body:
-                whole = space + (body.lower() if lower else body)
-                ids = [t.id for t in merge(whole.encode().decode("latin-1").translate(letters))]
-                fresh.append([t.id for t in merge(letters[10])] + ids if lead else ids)
-            elif not lower and (not body or len(body.split()) > 1 or body != body.strip()):
-                odd.append(word)
-                fresh.append([])
-            else:
-                rest.append((len(fresh), lead + space + body))
-                fresh.append([])
+            body = word[1:] if head in ("\n", FIRST, MARK) else word
+            if not body or len(body.split()) > 1 or body != body.strip():
+                odd[i] = True
+            rest.append((i, "" if odd[i] else body if head in (FIRST, MARK) else word if head == "\n" else " " + word))
         for at in range(0, len(rest), 5000):
             some = rest[at : at + 5000]
-            for (n, _), ids in zip(some, self._whole([text for _, text in some]), strict=True):
-                fresh[n] = ids
-        return fresh, odd
-
-    def _words(self, text: str) -> list[str] | None:
-        """Keys of a text's words; None if it holds a mark."""
+            parts.append((np.array([i for i, _ in some]), *_flat(self._whole([text for _, text in some]))))
+        order = np.argsort(np.concatenate([at for at, _, _ in parts]))
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([lengths for _, _, lengths in parts]))])
+        return *_gathered(np.concatenate([ids for _, ids, _ in parts]), starts, order), odd
+
+    def _joined(self, words: pa.Array, at: np.ndarray, lead: str, bare: np.ndarray | None = None):
+        """The words at these places, encoded as one text with ``lead`` before each and cut where the ids show it: places,
+        ids, number of ids of each. ``bare`` words go without the id of their lead."""
+        words = words.take(pa.array(at))
+        sizes = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // JOINED_BYTES)) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            some = _strings(words[a:b])
+            ids, _ = _flat(self._whole([lead + lead.join(some)]))
+            if self.drops_space:
+                firsts = np.concatenate([[0], np.flatnonzero(self.border[ids]) + 1])[:-1]
+            else:
+                firsts = np.flatnonzero(self.border[ids] if lead == " " else ids == self.line_break)
+            lengths = np.diff(np.append(firsts, len(ids)))
+            if len(firsts) != b - a or firsts[0] or (self.drops_space and not self.border[ids[-1]]):  # a vocabulary that does not show where words begin
+                ids, lengths = _flat(self._whole([lead + x for x in some]))
+                firsts = np.cumsum(lengths) - lengths
+            if bare is not None:
+                ids = np.delete(ids, firsts[bare[at[a:b]]])
+                lengths = lengths - bare[at[a:b]]
+            yield at[a:b], ids, lengths
+
+    def _keys(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, set[int]]:
+        """Keys of the words of all texts, the first key of each text, and the texts that hold a mark (they get no keys)."""
+        rows = pa.array([text or None for text in texts], pa.large_string())
+        marked: set[int] = set()
         if self.drops_space:
-            return self.apart(r" \g<0>", text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        if MARK in text or FIRST in text:
-            return None
-        words = self.apart(" " + MARK + r"\g<0>", text).replace("\n", " \n").split(" ")
-        words[0] = FIRST + words[0]
-        return words
+            # A capital may meet a following mark in another way than its small letter does.
+            rows = pc.if_else(pa.array(_matching(rows, r"[\x{300}-\x{10FFFF}]")), rows, pc.ascii_lower(rows))
+            rows = pc.replace_substring_regex(rows, APART, r"\1 \2\3")
+            rows = pc.replace_substring(rows, "\n", " ")
+        else:
+            holds = _matching(rows, f"[{MARK}{FIRST}]")
+            marked.update(np.flatnonzero(holds).tolist())
+            rows = pc.if_else(pa.array(holds), _large(None), rows)
+            rows = pc.replace_substring_regex(rows, APART, rf"\1 {MARK}\2\3")
+            rows = pc.replace_substring(rows, "\n", " \n")
+            rows = pc.binary_join_element_wise(_large(FIRST), rows, _large(""))
+        split = pc.split_pattern(rows, " ")
+        counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+        return split.flatten(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), marked
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; an empty text has none."""
         if len(self.place) > self.limit // 2:
-            self.older = (self.place, self.flat, self.starts)
+            self.older = self.place, self.flat, self.starts, self.odd
             self._begin()
-        collecting = gc.isenabled()
-        gc.disable()  # millions of small lists without cycles
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [(self._words(t) if t else []) for t in texts]
-        whole = {i for i, words in enumerate(split) if words is None}
-        split = [words or [] for words in split]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        cuts = np.concatenate([[0], np.cumsum(counts)])
-        every = list(chain.from_iterable(split))
-        places = np.fromiter(map(self.place.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.flatnonzero(places < 0)
-        if len(missing):
-            words = [every[i] for i in missing]
-            self._add(list(dict.fromkeys(words)))
+        keys, cuts, whole = self._keys(texts)
+        keys = keys.dictionary_encode()
+        distinct, which = _strings(keys.dictionary), keys.indices.to_numpy()
+        places = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(places < 0).tolist()
+        if missing:
+            words = [distinct[i] for i in missing]
+            self._add(words)
             places[missing] = list(map(self.place.__getitem__, words))
-        whole.update((np.searchsorted(cuts, np.flatnonzero(places == ODD), "right") - 1).tolist())
-        lengths = self.starts[places + 1] - self.starts[places]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.repeat(self.starts[places] - ends[:-1], lengths) + np.arange(int(ends[-1]))
-        ids = self.flat[source]
-        borders = ends[cuts]
+        odd = np.flatnonzero(self.odd[places][which]) if self.odd[places].any() else np.zeros(0, np.int64)
+        whole.update((np.searchsorted(cuts, odd, "right") - 1).tolist())
+        ids, lengths = _gathered(self.flat, self.starts, places[which])
+        borders = np.concatenate([[0], np.cumsum(lengths)])[cuts]
         out = [ids[borders[i] : borders[i + 1]] for i in range(len(texts))]
         asked = sorted(whole)
         for i, found in zip(asked, self._whole([texts[i] for i in asked]) if asked else [], strict=True):
@@ -219,7 +261,7 @@ class WordCache(metaclass=_Lender):
         return out
 
 
-def text_groups(texts: list[str | None], most_chars: int = 300_000):
+def text_groups(texts: list[str | None], most_chars: int = 4_000_000):
     """Runs of texts (null as empty) of at most so many characters, or one longer text: what is encoded at once."""
     group: list[str] = []
     size = 0
