@@ -1,8 +1,7 @@
 """A gated recurrent classifier over padded sequences.
 
-Sequences are cut into fit rows of a bounded number (``fit_rows`` rules); padded steps are masked, so the
-state stops at the last real one. Each training step is one Spark pass: tasks run the net forward
-and backward in numpy over their own rows and give back one summed gradient, Spark adds these up,
+All labelled sequences are fit rows, written once; padded steps are masked, so the state stops at the
+last real one. Each training step is one Spark pass: tasks run the net forward and backward in numpy over their own rows and give back one summed gradient, Spark adds these up,
 and the driver takes one step of Adam. Training stops when the loss on validation users has not
 improved for ``patience`` steps; the best weights are kept.
 """
@@ -20,7 +19,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from snapweave.plans.boosting import softmax
 from snapweave.plans.extra_trees import with_prediction
-from snapweave.plans.fit_rows import FIT_ROWS
 from snapweave.runtime import materialize
 from snapweave.schema import KEYS
 
@@ -175,13 +173,12 @@ def fit_recurrent(
     rate: float = 0.01,
     patience: int = 15,
     seed: int = 42,
-    most_rows: int = FIT_ROWS,
+    most_rows: int | None = None,
     keys: Sequence[str] = KEYS,
 ) -> Recurrent:
     """Fit on the rows where ``held`` (a boolean column: validation users) is not true, and stop by the others."""
     rows = train.filter(F.col(label).isNotNull())
-    n = rows.count()
-    if n > most_rows:
+    if most_rows is not None and (n := rows.count()) > most_rows:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), *keys), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
     rows = materialize(
         rows.select(
