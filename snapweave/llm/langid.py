@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snapweave.llm.rows import released
@@ -275,7 +276,8 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 
 
 def keep_readable(docs: DataFrame, network: Network | None, least: float = 0.0) -> DataFrame:
-    """Rows whose language the network names, with at least that score; all columns as they are.
+    """Rows whose language the network names, with at least that score. Where ``lang`` is null it becomes that language; all
+    other columns are as they are.
 
     Without a network (nothing was labelled) no language can be told: every text with a letter stays.
     """
@@ -289,6 +291,9 @@ def keep_readable(docs: DataFrame, network: Network | None, least: float = 0.0)
             good = pa.array([name != UNKNOWN and score >= least for name, score in zip(found, scores, strict=True)], pa.bool_())
             if network is None:
                 good = batch.column(flag)
+            elif "lang" in names:
+                named = pc.coalesce(batch.column("lang"), pa.array(found, pa.string()).cast(batch.column("lang").type))
+                batch = batch.set_column(batch.schema.get_field_index("lang"), "lang", named)
             yield batch.select(names).filter(good)
 
     return docs.withColumn(flag, _has_letter()).mapInArrow(released(keep), schema)
